@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import stored
+from quarry.llm.common import drop_stored, stored
 
 #: Members that a task compares with one another at once.
 LIMIT = 1000
@@ -118,7 +118,7 @@ def spanning_links(members: DataFrame, compare: Callable[[dict[str, list]], list
 
 
 def classes(links: DataFrame) -> DataFrame:
-    """id, root: the least id that links lead to. Least labels spread along links and through their own labels, so
+    """id, root (stored): the least id that links lead to. Least labels spread along links and through their own labels, so
     a few rounds are enough; each is an aggregation with map-side combine, written to the shared folder."""
     both = stored(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
     now = stored(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "classes")
@@ -128,6 +128,8 @@ def classes(links: DataFrame) -> DataFrame:
         jump = now.select(F.col("id").alias("j"), F.col("root").alias("jr"))
         after = moved.join(jump, F.col("next") == F.col("j"), "left").select("id", F.least("next", F.coalesce("jr", "next")).alias("root"), (F.least("next", F.coalesce("jr", "next")) != F.col("root")).alias("changed"))
         step = stored(after, "classes")
-        now = step.select("id", "root")
-        if step.where("changed").isEmpty():
+        drop_stored(now)
+        now = step
+        if now.where("changed").isEmpty():
+            drop_stored(both)
             return now

@@ -24,17 +24,35 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/quarry/{name}-{uuid.uuid4().hex}"
 
 
+#: Folders that stored() wrote and nothing has dropped yet.
+_written: list[str] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read again: cuts lineage and survives lost executors."""
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _written.append(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    return out
+
+
+def drop_stored(*frames: DataFrame) -> None:
+    """Deletes what stored() wrote for these frames; call it when nothing reads them any more."""
+    for df in frames:
+        _delete(df.sparkSession, df.stored_path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all that stored() wrote and nobody dropped: for a caller that has written its results elsewhere."""
+    for path in list(_written):
+        _delete(spark, path)
 
 
-def drop_stored(df: DataFrame) -> None:
-    """Deletes what stored() wrote; call it when nothing reads df any more."""
-    spark = df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+def _delete(spark: SparkSession, path: str) -> None:
+    if path in _written:
+        _written.remove(path)
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.cluster import BROADCAST_IDS, LIMIT, bucket_sizes, classes, in_order, look_up, one_of_equals, spanning_links, sub_buckets
-from quarry.llm.common import arrow_rows, stored
+from quarry.llm.common import arrow_rows, drop_stored, stored
 
 MIN_CHARS = 12
 
@@ -186,11 +186,15 @@ def line_classes(docs: DataFrame, distance: int, min_chars: int = MIN_CHARS, lim
     marks = stored(_scan(docs, distance, min_chars), "line-keys")
     met = marks.groupBy("bucket").agg(F.min("probe").alias("probes_only"), F.min("id").alias("a"), F.max("id").alias("b")).where("NOT probes_only AND a != b").select("bucket")
     rows = stored(marks.join(met, "bucket").select("bucket", "id").distinct(), "line-buckets")
+    drop_stored(marks)
     subs = stored(sub_buckets(rows, one_of_equals(bucket_sizes(rows)), limit), "line-sub-buckets")
+    drop_stored(rows)
     ids = subs.select("id").distinct()
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     texts = _lines(docs, min_chars, True).join(F.broadcast(ids) if few else ids, "id", "left_semi").dropDuplicates(["id"])
-    return classes(spanning_links(in_order(subs, texts), lambda rows, forest: close_lines(rows, forest, distance)))
+    found = classes(spanning_links(in_order(subs, texts), lambda rows, forest: close_lines(rows, forest, distance)))
+    drop_stored(subs)
+    return found
 
 
 def repeated_places(docs: DataFrame, distance: int = 2, min_chars: int = MIN_CHARS, limit: int = LIMIT) -> DataFrame:
@@ -199,8 +203,9 @@ def repeated_places(docs: DataFrame, distance: int = 2, min_chars: int = MIN_CHA
     arrow_rows(docs.sparkSession, 256)
     roots = line_classes(docs, distance, min_chars, limit)
     lines = stored(_lines(docs, min_chars, False), "lines")
-    named = lines.groupBy("id").agg(F.count("*").alias("n"), F.min(F.struct("doc", "mark", "place")).alias("first")).join(roots, "id", "left")
+    named = lines.groupBy("id").agg(F.count("*").alias("n"), F.min(F.struct("doc", "mark", "place")).alias("first")).join(roots.select("id", "root"), "id", "left")
     named = stored(named.select("id", "n", "first", F.coalesce("root", "id").alias("root")), "line-names")
+    drop_stored(roots)
     whole = named.groupBy("root").agg(F.sum("n").alias("all"), F.min(F.struct("first", "id")).alias("best")).where(F.col("all") > 1)
     stays = named.join(whole, "root").select("id", F.col("best.first").alias("stay"), (F.col("best.id") != F.col("id")).alias("near"))
     gone = lines.join(stays, "id").where(F.struct("doc", "mark", "place") != F.col("stay"))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.cluster import BROADCAST_IDS, LIMIT, bucket_sizes, classes, in_order, look_up, one_of_equals, runs, spanning_links, sub_buckets
-from quarry.llm.common import arrow_rows, stored
+from quarry.llm.common import arrow_rows, drop_stored, stored
 from quarry.llm.decontaminate import words
 
 _SKETCH = 64
@@ -184,8 +184,10 @@ def set_classes(sets: DataFrame, similarity: float, c: float, limit: int, depth:
     rows = stored(sets.select("id", F.explode("paths").alias("bucket")).distinct(), "paths")
     sizes = bucket_sizes(rows)
     parts: list[DataFrame] = []
+    used = [rows]
     for step in range(1, depth + 1):
         sizes = stored(sizes, "path-sizes")
+        used.append(sizes)
         small = one_of_equals(sizes.where(F.col("n") <= limit))
         parts.append(sub_buckets(rows.select("bucket", "id"), small, limit))
         large = one_of_equals(sizes.where(F.col("n") > limit))
@@ -201,13 +203,17 @@ def set_classes(sets: DataFrame, similarity: float, c: float, limit: int, depth:
         parts.append(sub_buckets(members.select("bucket", "id"), alike, limit))
         split = longer.join(alike, F.col("parent") == alike["bucket"], "left_anti")
         rows = stored(split.select("bucket", "id").distinct(), "paths")
+        used += [members, longer, sizes_below, alike, rows]
         sizes = bucket_sizes(rows)
     subs = parts[0]
     for p in parts[1:]:
         subs = subs.unionByName(p)
     subs = stored(subs, "sub-buckets")
+    drop_stored(*used)
     members = in_order(subs, look_up(payload, subs))
-    return classes(spanning_links(members, lambda rows, forest: similar_pairs(rows, forest, similarity)))
+    found = classes(spanning_links(members, lambda rows, forest: similar_pairs(rows, forest, similarity)))
+    drop_stored(subs)
+    return found
 
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, size: int = 5, recall: float = 0.9999, c: float = 4.0, limit: int = LIMIT, depth: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -216,7 +222,8 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, size: int = 5, rec
     sets = shingle_sets(docs, size, c, runs_for(recall, similarity, c), id_col, text_col)
     roots = set_classes(sets, similarity, c, limit, depth)
     copies = stored(sets.where("id IS NOT NULL").groupBy("id").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_doc")), "set-copies")
-    named = stored(copies.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "set-classes")
+    named = stored(copies.join(roots.select("id", "root"), "id", "left").withColumn("root", F.coalesce("root", "id")), "set-classes")
+    drop_stored(roots)
 
     class_sizes = named.groupBy(F.col("root").alias("bucket")).agg(F.count("*").alias("n"), F.sum("copies").alias("class_size"), F.min("first_doc").alias("class_id"))
     class_sizes = stored(class_sizes.where("n > 1"), "class-sizes")
