@@ -1,7 +1,8 @@
 """Corpus pipeline: five stages over documents, from raw texts to packed token sequences.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it as Parquet and reads
-it again as the next one's docs. All but the last return the columns of documents.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which its caller writes as Parquet and reads
+again as the next one's docs, as run() does. All but the last return the columns of documents. A stage
+begins by deleting what the stage before kept in the shared folder: its result is written by then.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm import decontaminate, line_dedup, ngram_join, packing, quality
-from quarry.llm.common import stored, table
+from quarry.llm.common import clear, shared_dir, table
 
 
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,21 +21,25 @@ def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that an earlier line equals or nearly equals; those of which nothing is left go."""
+    clear(spark)
     return line_dedup.drop_lines(docs)
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies."""
+    clear(spark)
     return ngram_join.near_copies(docs)
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without benchmark passages; those that are mostly benchmark go."""
+    clear(spark)
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences of at most 2048 ids."""
+    clear(spark)
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -47,5 +52,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        path = shared_dir(spark, f"stage-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
