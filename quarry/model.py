@@ -43,10 +43,10 @@ def struct_type(schema: dict[str, Any]) -> T.StructType:
     return T.StructType([T.StructField(n, spark_type(p), n not in need) for n, p in schema.get("properties", {}).items()])
 
 
-def _table(name: str, key: str, required: str, **fields: str) -> dict[str, Any]:
+def _table(title: str, key: str, required: str, /, **fields: str) -> dict[str, Any]:
     """A built-in schema; field kinds: s string, i integer, n number, t time, a list of strings, o object."""
     kinds = {"s": {"type": "string"}, "i": {"type": "integer"}, "n": {"type": "number"}, "t": {"type": "string", "format": "date-time"}, "a": {"type": "array", "items": {"type": "string"}}, "o": {"type": "object"}}
-    return {"title": name, "description": f"Built-in table {name}", "version": "1.0.0", "short_name": name, "type": "object", "properties": {n: {**kinds[k], "description": n} for n, k in fields.items()}, "required": required.split(), "key_field": key, "category": "system"}
+    return {"title": title, "description": f"Built-in table {title}", "version": "1.0.0", "short_name": title, "type": "object", "properties": {n: {**kinds[k], "description": n} for n, k in fields.items()}, "required": required.split(), "key_field": key, "category": "system"}
 
 
 #: The fields of the built-in tables.
