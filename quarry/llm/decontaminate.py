@@ -242,11 +242,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, min_span:
     hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
 
     @F.udf("string", useArrow=True)
-    def cut(text, spans, names):
-        return cut_spans(text, [s for s in spans if s[1] - s[0] >= min_span or len(spans) and s[1] - s[0] < window])
+    def cut(text, spans):
+        gone = [(a, b) for a, b in spans if b - a >= min_span or b - a < window]  # under a window: a whole short item
+        return cut_spans(text, gone) if gone else text
 
     kept = found.where(hit <= F.lit(max_coverage) * F.col("n_words"))
-    clean = F.when(F.size("hit_spans") == 0, F.col(text_col)).otherwise(cut(F.col(text_col), F.col("hit_spans"), F.col("hit_items")))
+    clean = F.when(F.size("hit_spans") == 0, F.col(text_col)).otherwise(cut(F.col(text_col), F.col("hit_spans")))
     out = kept.withColumn(text_col, clean)
     if chars_col in docs.columns:
         out = out.withColumn(chars_col, F.when(F.size("hit_spans") == 0, F.col(chars_col)).otherwise(F.length(text_col).cast(docs.schema[chars_col].dataType)))

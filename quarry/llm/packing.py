@@ -96,8 +96,10 @@ def pack(items: DataFrame, capacity: int = 2048, slack: int = 4, fan_in: int = 4
             from pyspark import TaskContext
 
             part = TaskContext.get().partitionId()
-            table = pa.Table.from_batches(list(batches), schema=pa.schema([("key", pa.int64()), ("length", pa.int64())]))
-            keys, lengths = table.column("key").to_numpy(), table.column("length").to_pylist()
+            held = [(b.column("key").to_numpy(), b.column("length").to_numpy()) for b in batches]
+            if not held:
+                return
+            keys, lengths = np.concatenate([k for k, _ in held]), np.concatenate([n for _, n in held]).tolist()
             for a in range(0, len(keys), task_items):
                 place = best_fit(lengths[a : a + task_items], capacity)
                 if not place:
