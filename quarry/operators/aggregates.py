@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,3 +75,24 @@ def merge_chunks(parts: DataFrame, by: list[str], order: str, field: str, how: s
         "last": lambda: F.max_by(field, order),
     }[how]()
     return parts.groupBy(*by).agg(out.alias(field))
+
+
+def merge_custom(parts: DataFrame, by: list[str], order: str, merge: Callable[[list], str], field: str) -> DataFrame:
+    """Joins the chunks of a group by a function of their values in order; a group's chunks have to fit one task."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        out = rows.iloc[:1][by].copy()
+        out[field] = merge(rows.sort_values(order)[field].tolist())
+        return out
+
+    kinds = ", ".join(f"{c} {parts.schema[c].dataType.simpleString()}" for c in by)
+    return parts.groupBy(*by).applyInPandas(run, f"{kinds}, {field} string")
+
+
+def merge_values(values: list):
+    """Lists are joined, dictionaries merged key by key, of anything else the first stays."""
+    if all(isinstance(v, list) for v in values):
+        return [x for v in values for x in v]
+    if all(isinstance(v, dict) for v in values):
+        return {k: merge_values([v[k] for v in values if k in v]) for k in dict.fromkeys(k for v in values for k in v)}
+    return values[0]

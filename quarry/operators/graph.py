@@ -151,3 +151,13 @@ def expand(seeds: DataFrame, edges: DataFrame, depth: int = 2) -> DataFrame:
         front = cut(steps.join(front, F.col("from") == F.col("node"), "left_semi").select(F.col("to").alias("node")).distinct().join(out, "node", "left_anti").withColumn("hops", F.lit(d)), "expand")
         out = out.unionByName(front)
     return out
+
+
+def inline_of_type(edges_col: str, rel_type: str):
+    """Of an array of inline edges, those of one type."""
+    return F.filter(edges_col, lambda e: e["rel_type"] == rel_type)
+
+
+def without_inline(edges_col: str, dst: str, rel_type: str):
+    """An array of inline edges without the one to dst of that type."""
+    return F.filter(edges_col, lambda e: ~((e["dst"] == dst) & (e["rel_type"] == rel_type)))

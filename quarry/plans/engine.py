@@ -15,6 +15,7 @@ from quarry.operators import vector
 from quarry.plans import query_plan, verbs
 from quarry.plans.embed import Provider, embed_column, hash_embedder
 from quarry.registry import Registry
+from quarry.sources import sinks
 from quarry.sources.store import Store, hard_delete, patch, soft_delete, upsert
 
 
@@ -113,5 +114,14 @@ class Engine:
             return self.search(q.table, q.text, q.limit, q.where)
         return self.sql(q.text)
 
+    def similar_schemas(self, text: str, limit: int = 3) -> DataFrame:
+        """Registered schemas by the similarity of their descriptions to a text."""
+        rows = self.registry.table(self.spark).withColumn("embedding", embed_column(F.concat_ws(" ", "name", "description"), self.provider))
+        return vector.top_k(rows, [float(x) for x in self.provider([text])[0]], limit, id_col="name").select("name", "score")
+
+    def export(self, name: str, path: str, kind: str = "parquet") -> None:
+        write = {"parquet": sinks.write_parquet, "csv": sinks.write_csv, "jsonl": sinks.write_jsonl, "tsv": lambda df, p: sinks.write_csv(df, p, "\t")}[kind]
+        write(self.list(name), path)
+
     def ask(self, question: str, planner: Callable[[str], str] | None = None) -> DataFrame:
         return query_plan.run_staged(query_plan.plan(question, planner), self.query)[0]

@@ -143,3 +143,7 @@ class Store:
 
     def restore(self, table: str, version: int) -> int:
         return self.commit(table, self.read(table, version))
+
+    def backup(self, table: str, target: str) -> int:
+        """Commits the current snapshot to a store in another folder; returns its version there."""
+        return Store(self.spark, target).commit(table, self.read(table))

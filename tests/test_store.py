@@ -207,3 +207,26 @@ def test_sessions_and_moments(spark):
     assert moments.sessionize(ev, 10).count() == 2
     mo = spark.createDataFrame([("m", ["r1"], ["s1", "s2"])], "name string, resource_ids array<string>, session_ids array<string>")
     assert moments.moment_edges(mo).count() == 3
+
+
+def test_merges_backup_and_shell(spark, people, tmp_path, capsys):
+    from quarry.__main__ import main
+
+    parts = spark.createDataFrame([("a", 2, '{"x": [2]}'), ("a", 1, '{"x": [1], "y": 3}')], "id string, n int, v string")
+    got = aggregates.merge_custom(parts, ["id"], "n", lambda vs: json.dumps(aggregates.merge_values([json.loads(v) for v in vs])), "v").first()
+    assert json.loads(got["v"]) == {"x": [1, 2], "y": 3}
+    (tmp_path / "p.json").write_text(json.dumps(PERSON))
+    (tmp_path / "p.jsonl").write_text("\n".join(json.dumps({"name": n, "age": a, "role": r}) for n, a, r in PEOPLE) + "\nbad")
+    base = [f"file://{tmp_path}/db", "--schema", str(tmp_path / "p.json")]
+    main([*base, "ingest", "person", str(tmp_path / "p.jsonl")])
+    main([*base, "count", "person"])
+    main([*base, "query", "LOOKUP 'Bob'"])
+    out = capsys.readouterr().out.splitlines()
+    assert json.loads(out[0]) == {"version": 1, "bad_lines": 1} and out[1] == "4" and json.loads(out[2])["key_value"] == "Bob"
+    s = store.Store(spark, f"file://{tmp_path}/db")
+    assert s.backup("person", f"file://{tmp_path}/copy") == 1 and s.restore("person", 1) == 2
+    e = Engine(spark, f"file://{tmp_path}/db")
+    assert e.similar_schemas("Built-in table feedback", 1).first()["name"] == "feedback"
+    kind = "array<struct<dst:string,rel_type:string>>"
+    df = spark.createDataFrame([([("a", "k"), ("b", "j")],)], f"e {kind}")
+    assert df.select(F.size(graph.inline_of_type("e", "k")), F.size(graph.without_inline("e", "a", "k"))).first() == (1, 1)
