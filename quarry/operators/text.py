@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.scalar import strip_suffix, tokens
+from quarry.session import cut
 
 
 def term_frequencies(docs: DataFrame, id_col: str = "id", text_col: str = "text", stem: bool = False, stop_words: list[str] | None = None) -> DataFrame:
@@ -33,17 +34,17 @@ def index_stats(tf: DataFrame) -> DataFrame:
 def bm25(docs: DataFrame, query: str, id_col: str = "id", text_col: str = "text", k1: float = 1.2, b: float = 0.75, idf: str = "plain", keep: list[str] | None = None) -> DataFrame:
     """id, score (and kept columns) of the documents that hold a term of the query.
 
-    One pass counts the query's terms in each document, one row of totals gives their
-    frequencies; postings are never shuffled. idf "plain" may be negative for common terms; "plus1" adds 1 inside.
+    One pass over the texts counts the query's terms and writes a few numbers a document; one row of totals gives their
+    frequencies. Postings are never shuffled. idf "plain" may be negative for common terms; "plus1" adds 1 inside.
     """
     spark = docs.sparkSession
     words = [r[0] for r in spark.range(1).select(F.explode(F.array_distinct(tokens(F.lit(query)))).alias("w")).collect()]
     cols = [F.col(id_col).alias("id"), *[F.col(c) for c in keep or []]]
     if not words:
         return docs.select(*cols, F.lit(0.0).alias("score")).limit(0)
-    counted = docs.select(*cols, tokens(text_col).alias("_t")).select(
-        *[c for c in ["id", *(keep or [])]], F.size("_t").alias("_dl"), *[_hits("_t", w).alias(f"_tf{i}") for i, w in enumerate(words)]
-    )
+    lower = F.lower(F.coalesce(F.col(text_col), F.lit("")))
+    runs = F.regexp_count(lower, F.lit(r"[\p{L}\p{N}]{2,}"))
+    counted = cut(docs.select(*cols, runs.alias("_dl"), *[_hits(lower, w).alias(f"_tf{i}") for i, w in enumerate(words)]), "term-counts")
     totals = counted.agg(F.count("*").alias("_n"), F.avg("_dl").alias("_avg"), *[F.sum((F.col(f"_tf{i}") > 0).cast("long")).alias(f"_df{i}") for i in range(len(words))])
     score = F.lit(0.0)
     for i in range(len(words)):
@@ -55,8 +56,9 @@ def bm25(docs: DataFrame, query: str, id_col: str = "id", text_col: str = "text"
     return counted.where(hit).join(F.broadcast(totals)).select("id", *(keep or []), score.alias("score"))  # totals is one row
 
 
-def _hits(c: str, word: str):
-    return F.size(F.filter(c, lambda x: x == word))
+def _hits(lower, word: str):
+    """How often a token stands in a lower-case text: a run of letters and digits, whole."""
+    return F.regexp_count(lower, F.lit(rf"(?<![\p{{L}}\p{{N}}]){word}(?![\p{{L}}\p{{N}}])"))
 
 
 def phrase_matches(docs: DataFrame, phrase: str, id_col: str = "id", text_col: str = "text") -> DataFrame:
