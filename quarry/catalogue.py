@@ -197,10 +197,13 @@ def lookup_keys(spark, sf):
     return lookup.lookup(k, names)
 
 
-@query("SELECT pos, s_name AS key, CASE WHEN s.s_suppkey IS NULL THEN [] ELSE [CAST(s_suppkey AS VARCHAR)] END AS ids FROM (SELECT o_orderkey AS pos, 'Supplier#' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') AS k FROM orders) o LEFT JOIN supplier s ON s_name = k WHERE false")
-def lookup_batch_shape(spark, sf):
-    keys = t(spark, sf, "orders").limit(0).select(F.col("o_orderkey").alias("pos"), F.col("o_orderstatus").alias("key"))
-    return lookup.lookup_batch(lookup.key_index(t(spark, sf, "supplier"), "supplier", "s_suppkey", "s_name"), keys)
+@query("SELECT p_partkey AS pos, n_name AS key, string_agg(CAST(s_suppkey AS VARCHAR), ',' ORDER BY CAST(s_suppkey AS VARCHAR)) AS ids FROM part JOIN nation ON n_nationkey = p_size JOIN supplier ON s_nationkey = n_nationkey GROUP BY ALL")
+def lookup_batch_ids(spark, sf):
+    """A key with many rows: the suppliers of a nation under its name."""
+    n, s = t(spark, sf, "nation"), t(spark, sf, "supplier")
+    index = s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("key_value"), F.col("s_suppkey").cast("string").alias("id"), F.lit("supplier").alias("entity_type"))
+    keys = t(spark, sf, "part").join(n, F.col("p_size") == F.col("n_nationkey")).select(F.col("p_partkey").alias("pos"), F.col("n_name").alias("key"))
+    return lookup.lookup_batch(index, keys).where(F.size("ids") > 0).select("pos", "key", F.array_join("ids", ",").alias("ids"))
 
 
 @query("SELECT pos, key, list_sort(list(CAST(s_suppkey AS VARCHAR)) FILTER (s_suppkey IS NOT NULL)) IS NOT NULL AS found FROM (SELECT p_partkey AS pos, (SELECT min(s_name) FROM supplier WHERE s_suppkey = p_partkey % 150) AS key FROM part) LEFT JOIN supplier ON s_name = key GROUP BY pos, key")
