@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -78,22 +79,24 @@ def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[dict[str, lis
 
 
 class Forest:
-    """Union-find over places."""
+    """Which members are joined so far: label holds the first member of each one's component."""
 
     def __init__(self, n: int):
-        self.up = list(range(n))
+        self.label = np.arange(n)
 
-    def top(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = i = self.up[self.up[i]]
-        return i
+    def others(self, i: int) -> np.ndarray:
+        """Members after i that aren't joined with it."""
+        return np.flatnonzero(self.label[i + 1 :] != self.label[i]) + i + 1
+
+    def apart(self, i: int, j: int) -> bool:
+        return self.label[i] != self.label[j]
 
     def join(self, i: int, j: int) -> None:
-        a, b = sorted((self.top(i), self.top(j)))
-        self.up[b] = a
+        a, b = sorted((self.label[i], self.label[j]))
+        self.label[self.label == b] = a
 
 
-def spanning_links(members: DataFrame, compare: Callable[[dict[str, list]], list[tuple[int, int]]]) -> DataFrame:
+def spanning_links(members: DataFrame, compare: Callable[[dict[str, list], Forest], Iterator[tuple[int, int]]]) -> DataFrame:
     """a, b: links from each member of a sub-bucket to the first of those that it is linked with there."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -105,9 +108,9 @@ def spanning_links(members: DataFrame, compare: Callable[[dict[str, list]], list
             for i, j in compare(rows, forest):
                 forest.join(i, j)
             ids = rows["id"]
-            for i in range(len(ids)):
-                if (t := forest.top(i)) != i:
-                    a.append(ids[t])
+            for i, first in enumerate(forest.label.tolist()):
+                if first != i:
+                    a.append(ids[first])
                     b.append(ids[i])
             if len(a) > 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)

@@ -128,13 +128,14 @@ def close_lines(rows: dict[str, list], forest, distance: int) -> Iterator[tuple[
             c += np.bincount(raw, minlength=32).astype("int16")
     side, cross = np.array(rows["side"]), rows["lo"][0] != rows["hi"][0]
     for i in range(len(lines) - 1):
-        ok = np.abs(size[i + 1 :] - size[i]) <= distance
-        if len(lines) > 8:
-            ok &= np.abs(count[i + 1 :] - count[i]).sum(1) <= 2 * distance
+        rest = forest.others(i)
+        rest = rest[np.abs(size[rest] - size[i]) <= distance]
         if cross:
-            ok &= side[i + 1 :] != side[i]
-        for j in (np.flatnonzero(ok) + i + 1).tolist():
-            if forest.top(i) != forest.top(j) and within(lines[i], lines[j], distance):
+            rest = rest[side[rest] != side[i]]
+        if len(lines) > 8:
+            rest = rest[np.abs(count[rest] - count[i]).sum(1) <= 2 * distance]
+        for j in rest.tolist():
+            if forest.apart(i, j) and within(lines[i], lines[j], distance):
                 yield i, j
 
 

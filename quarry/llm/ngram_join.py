@@ -32,6 +32,8 @@ from quarry.llm.cluster import BROADCAST_IDS, LIMIT, bucket_sizes, classes, in_o
 from quarry.llm.common import arrow_rows, drop_stored, stored
 from quarry.llm.decontaminate import words
 
+#: Sets compared with one another in a task: about 1.5 kB each, and a comparison of all sketches takes part of a second.
+COMPARED = 4000
 _SKETCH = 64
 _KEPT_WORDS = 500_000
 
@@ -140,12 +142,13 @@ def similar_pairs(rows: dict[str, list], forest, similarity: float) -> Iterator[
     small = size < 4 * _SKETCH  # sparse sketches say less
     need = similarity * _SKETCH - 5 * math.sqrt(_SKETCH * similarity * (1 - similarity))
     for i in range(len(tokens) - 1):
-        rest = slice(i + 1, None)
-        ok = (np.minimum(size[i], size[rest]) >= similarity * np.maximum(size[i], size[rest])) & ((marks[i] == marks[rest]).sum(1) >= np.where(small[rest] | small[i], need / 2, need))
+        rest = forest.others(i)
+        rest = rest[np.minimum(size[i], size[rest]) >= similarity * np.maximum(size[i], size[rest])]
         if cross:
-            ok &= side[rest] != side[i]
-        for j in (np.flatnonzero(ok) + i + 1).tolist():
-            if forest.top(i) != forest.top(j) and jaccard(tokens[i], tokens[j]) >= similarity:
+            rest = rest[side[rest] != side[i]]
+        rest = rest[(marks[i] == marks[rest]).sum(1) >= np.where(small[rest] | small[i], need / 2, need)]
+        for j in rest.tolist():
+            if forest.apart(i, j) and jaccard(tokens[i], tokens[j]) >= similarity:
                 yield i, j
 
 
@@ -216,7 +219,7 @@ def set_classes(sets: DataFrame, similarity: float, c: float, limit: int, depth:
     return found
 
 
-def near_duplicates(docs: DataFrame, similarity: float = 0.8, size: int = 5, recall: float = 0.9999, c: float = 4.0, limit: int = LIMIT, depth: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = 0.8, size: int = 5, recall: float = 0.9999, c: float = 4.0, limit: int = COMPARED, count_limit: int = LIMIT, depth: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: doc_id, class_id (the least doc_id of its class), class_size, n_links (other
     documents that it is linked with)."""
     sets = shingle_sets(docs, size, c, runs_for(recall, similarity, c), id_col, text_col)
@@ -227,7 +230,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, size: int = 5, rec
 
     class_sizes = named.groupBy(F.col("root").alias("bucket")).agg(F.count("*").alias("n"), F.sum("copies").alias("class_size"), F.min("first_doc").alias("class_id"))
     class_sizes = stored(class_sizes.where("n > 1"), "class-sizes")
-    subs = stored(sub_buckets(named.select(F.col("root").alias("bucket"), "id"), class_sizes.select("bucket", "n"), limit), "class-blocks")
+    subs = stored(sub_buckets(named.select(F.col("root").alias("bucket"), "id"), class_sizes.select("bucket", "n"), count_limit), "class-blocks")
     payload = look_up(sets.where("id IS NOT NULL").select("id", "tokens"), subs).join(copies.select("id", "copies"), "id")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,6 +14,8 @@ import numpy as np
 
 #: Words whose ids a worker keeps; then it starts again. About 200 bytes each.
 KEPT_WORDS = 700_000
+#: Characters whose words are held at once: about 20 bytes each.
+GROUP_CHARS = 2_000_000
 
 
 class Encoder:
@@ -52,6 +54,18 @@ class Encoder:
             start = end + 1
 
     def ids(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        group: list[str] = []
+        size = 0
+        for t in texts:
+            if group and size + len(t) > GROUP_CHARS:
+                out += self._ids(group)
+                group, size = [], 0
+            group.append(t)
+            size += len(t)
+        return out + self._ids(group)
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
         if len(self.spaced) + len(self.first) > KEPT_WORDS:
             self.spaced.clear()
             self.first.clear()
