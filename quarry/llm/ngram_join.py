@@ -141,22 +141,25 @@ def similar_pairs(rows: dict[str, list], forest, similarity: float) -> Iterator[
     cross = rows["lo"][0] != rows["hi"][0]
     small = size < 4 * _SKETCH  # sparse sketches say less
     need = similarity * _SKETCH - 5 * math.sqrt(_SKETCH * similarity * (1 - similarity))
+    names, at = np.unique(np.concatenate(tokens), return_inverse=True)
+    columns, mine = np.split(at, np.cumsum(size)[:-1]), np.zeros(len(names), "int32")
     for i in range(len(tokens) - 1):
         rest = forest.others(i)
         rest = rest[np.minimum(size[i], size[rest]) >= similarity * np.maximum(size[i], size[rest])]
         if cross:
             rest = rest[side[rest] != side[i]]
         rest = rest[(marks[i] == marks[rest]).sum(1) >= np.where(small[rest] | small[i], need / 2, need)]
-        for j in rest.tolist():
-            if forest.apart(i, j) and jaccard(tokens[i], tokens[j]) >= similarity:
+        if not len(rest):
+            continue
+        mine[columns[i]] = 1
+        starts = np.concatenate(([0], np.cumsum(size[rest])[:-1]))
+        both = np.add.reduceat(mine[np.concatenate([columns[j] for j in rest.tolist()])], starts)
+        mine[columns[i]] = 0
+        for j in rest[both / (size[i] + size[rest] - both) >= similarity].tolist():
+            if forest.apart(i, j):
                 yield i, j
 
 
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both)
-
-
 def link_counts(rows: dict[str, list], similarity: float) -> np.ndarray:
     """Of each member of a class's sub-bucket: the documents behind the other sets that it is linked with there."""
     tokens = [np.frombuffer(t, "uint32") for t in rows["tokens"]]
