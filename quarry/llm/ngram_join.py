@@ -4,14 +4,16 @@ A document becomes the set of hashes of its runs of five words (words as in deco
 fewer words has one shingle of all of them). Equal sets count once. In each of several runs every set
 chooses the shingles whose hash, seeded by the run, lies under a threshold of c over its size;
 sets that chose the same shingle share a bucket. Buckets of up to `limit` sets are compared by brute
-force. Members of a larger bucket choose again, with hashes seeded by the path so far, and split into
-the buckets of the longer paths; where the members are so alike that most follow the same paths, or at
-the last depth, the bucket is compared as it is, in pairs of blocks. Every comparison ends in
-the exact Jaccard similarity, so no false link is ever made.
+force. Members of a larger bucket choose again in several runs, with hashes seeded by the path so far and
+the run, and split into the buckets of the longer paths; where the members are so alike that most follow
+the same paths, or at the last depth, the bucket is compared as it is, in pairs of blocks. Every
+comparison ends in the exact Jaccard similarity, so no false link is ever made.
 
 A pair of similarity s shares at least s * c chosen shingles a run in the mean, and the runs are
-repeated until the chance to share none of them is below 1 - recall. Linked sets form classes by
-connected components; inside a class all links are counted exactly.
+repeated until the chance to share none of them, on the first step or on any later one, is below
+1 - recall in all. The runs of a later step reach that in each bucket alone, so large buckets of the same
+members need only one of them. Linked sets form classes by connected components; inside a class all
+links are counted exactly.
 
 Defined cases: a null text or one without words is similar to nothing; an empty table gives an empty
 result; rows with equal doc_ids are one document for near_copies(); extra columns are ignored.
@@ -94,6 +96,16 @@ def runs_for(recall: float, similarity: float, c: float) -> int:
     return max(1, math.ceil(-math.log(1 - recall) / (similarity * c)))
 
 
+def runs_by_depth(recall: float, similarity: float, c: float, depth: int) -> tuple[int, int]:
+    """Runs on the first step and on each later one, in every large bucket: all misses together stay below 1 - recall."""
+    first = runs_for(recall, similarity, c)
+    spare = 1 - recall - math.exp(-similarity * c * first)
+    if spare < (1 - recall) / 10:
+        first += 1
+        spare = 1 - recall - math.exp(-similarity * c * first)
+    return first, runs_for(1 - spare / max(1, depth - 1), similarity, c)
+
+
 def shingle_sets(docs: DataFrame, size: int, c: float, n_runs: int, id_col: str, text_col: str) -> DataFrame:
     """doc_id, id (of the set; null without words), paths, sketch and tokens (top 32 bits, sorted, as bytes)."""
     arrow_rows(docs.sparkSession, 256)
@@ -117,14 +129,16 @@ def shingle_sets(docs: DataFrame, size: int, c: float, n_runs: int, id_col: str,
     return stored(texts.mapInArrow(task, "doc_id bigint, id bigint, paths array<bigint>, sketch binary, tokens binary"), "shingle-sets")
 
 
-def _longer_paths(members: DataFrame, c: float, seed: int) -> DataFrame:
-    """parent, bucket, id: the next steps of the members (bucket, id, tokens) of large buckets."""
+def _longer_paths(members: DataFrame, c: float, n_runs: int, step: int) -> DataFrame:
+    """parent, bucket, id: the next steps, in n_runs runs, of the members (bucket, id, tokens) of large buckets."""
+    seeds = [(step * 1024 + r) * 0x2545F4914F6CDD1D for r in range(n_runs)]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parent, child, ids = [], [], []
             for b, i, t in zip(*(batch.column(k).to_pylist() for k in ("bucket", "id", "tokens"))):
-                nxt = choose(np.frombuffer(t, "uint32").astype("uint64"), c, (b ^ seed * 0x2545F4914F6CDD1D)).view("int64").tolist()
+                tokens = np.frombuffer(t, "uint32").astype("uint64")
+                nxt = np.unique(np.concatenate([choose(tokens, c, b ^ seed) for seed in seeds])).view("int64").tolist()
                 parent += [b] * len(nxt)
                 child += nxt
                 ids += [i] * len(nxt)
@@ -184,8 +198,9 @@ def link_counts(rows: dict[str, list], similarity: float) -> np.ndarray:
     return linked @ copies
 
 
-def set_classes(sets: DataFrame, similarity: float, c: float, limit: int, depth: int) -> DataFrame:
+def set_classes(sets: DataFrame, similarity: float, c: float, limit: int, depth: int, recall: float = 0.9999) -> DataFrame:
     """id, root of the sets that are linked with any other one."""
+    again = runs_by_depth(recall, similarity, c, depth)[1]
     payload = sets.where("id IS NOT NULL").select("id", "sketch", "tokens")
     rows = stored(sets.select("id", F.explode("paths").alias("bucket")).distinct(), "paths")
     sizes = bucket_sizes(rows)
@@ -201,11 +216,11 @@ def set_classes(sets: DataFrame, similarity: float, c: float, limit: int, depth:
             parts.append(sub_buckets(rows.select("bucket", "id"), large, limit))
             break
         members = stored(rows.join(large, "bucket").select("bucket", "id", F.col("n").alias("members")), "large-buckets")
-        longer = stored(_longer_paths(members.join(look_up(payload, members), "id"), 2.0, step), "longer-paths")
+        longer = stored(_longer_paths(members.join(look_up(payload, members), "id"), c, again, step), "longer-paths")
         sizes_below = stored(bucket_sizes(longer, "parent"), "path-sizes")
         heads = members.select(F.col("bucket").alias("parent"), "members").distinct()
         mass = sizes_below.where(F.col("n") > limit).groupBy("parent").agg(F.sum("n").alias("below"))
-        alike = stored(heads.join(mass, "parent").where(F.col("below") > 1.2 * F.col("members")).select(F.col("parent").alias("bucket"), F.col("members").alias("n")), "alike-buckets")
+        alike = stored(heads.join(mass, "parent").where(F.col("below") > 0.6 * c * again * F.col("members")).select(F.col("parent").alias("bucket"), F.col("members").alias("n")), "alike-buckets")
         parts.append(sub_buckets(members.select("bucket", "id"), alike, limit))
         split = longer.join(alike, F.col("parent") == alike["bucket"], "left_anti")
         rows = stored(split.select("bucket", "id").distinct(), "paths")
@@ -225,8 +240,8 @@ def set_classes(sets: DataFrame, similarity: float, c: float, limit: int, depth:
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, size: int = 5, recall: float = 0.9999, c: float = 4.0, limit: int = COMPARED, count_limit: int = LIMIT, depth: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: doc_id, class_id (the least doc_id of its class), class_size, n_links (other
     documents that it is linked with)."""
-    sets = shingle_sets(docs, size, c, runs_for(recall, similarity, c), id_col, text_col)
-    roots = set_classes(sets, similarity, c, limit, depth)
+    sets = shingle_sets(docs, size, c, runs_by_depth(recall, similarity, c, depth)[0], id_col, text_col)
+    roots = set_classes(sets, similarity, c, limit, depth, recall)
     copies = stored(sets.where("id IS NOT NULL").groupBy("id").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_doc")), "set-copies")
     named = stored(copies.join(roots.select("id", "root"), "id", "left").withColumn("root", F.coalesce("root", "id")), "set-classes")
     drop_stored(roots)

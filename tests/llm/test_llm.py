@@ -320,6 +320,19 @@ def test_ngram_join_equals_brute_force(spark, limit):
     assert all(got[i]["class_size"] == sizes[classes[i]] for i in got)
 
 
+def test_a_large_bucket_loses_no_pair(spark):
+    """400 pairs at the threshold share one large bucket only: its later steps have to reach the recall alone."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for pair in range(400):
+        t = rng.integers(0, 2**32, 100, "uint64").astype("uint32")
+        for half, tokens in enumerate((np.sort(t[:90]), np.sort(t[10:]))):
+            rows.append((2 * pair + half, 2 * pair + half, [7], ngram_join.sketch(tokens.astype("uint64") << np.uint64(32)), tokens.tobytes()))
+    sets = spark.createDataFrame(rows, "doc_id bigint, id bigint, paths array<bigint>, sketch binary, tokens binary")
+    got = {r["id"]: r["root"] for r in ngram_join.set_classes(sets, 0.8, 4.0, 50, 4).collect()}
+    assert got == {i: i - i % 2 for i in range(800)}
+
+
 def test_near_copies_cases(spark):
     t = " ".join(f"a{i}" for i in range(50))
     d = docs(spark, t, t + " end", None, None, "", "few words").withColumn("id", F.lit("clash"))
