@@ -178,6 +178,18 @@ def test_bad_hosts_are_blocked(spark):
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
 
 
+def test_hosts_without_outcomes_have_their_domains_verdict(spark):
+    def rows(start, domain, bad):
+        return [(start + i, f"http://h{i % 20}.{domain}/x", bad) for i in range(200)]
+
+    labelled = rows(0, "spam.co.uk", 1) + rows(200, "good.co.uk", 0) + rows(400, "fine.org", 0) + rows(600, "dull.org", 0)
+    fresh = [(1000 + i, f"http://new{i}.{d}/x", None) for i, d in enumerate(["spam.co.uk", "good.co.uk", "fine.org", "other.org"])]
+    pages = spark.createDataFrame(labelled + fresh, "page_id int, url string, bad int")
+    got = url_reputation.judge(pages.drop("bad"), pages.where("bad IS NOT NULL").select("page_id", "bad"))
+    assert [r["verdict"] for r in got.where("page_id >= 1000").orderBy("page_id").collect()] == ["block", "allow", "allow", "allow"]
+    assert got.where("page_id < 200 AND verdict != 'block' OR page_id BETWEEN 200 AND 999 AND verdict != 'allow'").count() == 0
+
+
 # --- 4 quality ---
 
 
