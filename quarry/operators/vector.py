@@ -80,9 +80,9 @@ def distance_sums(rows: DataFrame, references: DataFrame, id_col: str = "id", ve
     return out.groupBy("id").agg(F.sum("total").alias("total"))
 
 
-def medoid(rows: DataFrame, id_col: str = "id", vector_col: str = "embedding", sample: int = 1000) -> DataFrame:
-    """The row with the least sum of L2 distances to all rows, or to a sample of `sample` rows where there are more."""
-    reference = rows.orderBy(F.xxhash64(id_col), id_col).limit(sample)
+def medoid(rows: DataFrame, id_col: str = "id", vector_col: str = "embedding", sample: int | None = None) -> DataFrame:
+    """The row with the least sum of L2 distances to all rows; to the `sample` rows of least hash only if that is given."""
+    reference = rows if sample is None else rows.orderBy(F.xxhash64(id_col), id_col).limit(sample)
     return distance_sums(rows, reference, id_col, vector_col).orderBy("total", "id").limit(1)
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from conftest import SF
 from oracle import same
 
 from quarry.catalogue import ORACLE, QUERIES
+from quarry.operators import vector
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
@@ -19,6 +21,13 @@ def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
 
+def test_medoid_sums_over_all_rows(spark):
+    x = np.random.default_rng(2).normal(size=(1500, 2))
+    sums = np.linalg.norm(x[:, None] - x[None], axis=2).sum(1)
+    best = vector.medoid(spark.createDataFrame(list(enumerate(x.tolist())), "id int, embedding array<double>")).first()
+    assert best["id"] == sums.argmin() and abs(best["total"] - sums.min()) < 1e-6
+
+
 def test_entry_without_llm(spark, monkeypatch):
     import __spark_entry__ as e
 
