@@ -153,7 +153,7 @@ def similar_pairs(rows: dict[str, list], forest, similarity: float) -> Iterator[
     tokens = [np.frombuffer(t, "uint32") for t in rows["tokens"]]
     size, side = np.array([len(t) for t in tokens]), np.array(rows["side"])
     cross = rows["lo"][0] != rows["hi"][0]
-    small = size < 4 * _SKETCH  # sparse sketches say less
+    small, tiny = size < 4 * _SKETCH, size < _SKETCH  # sparse sketches say less, those with empty parts nothing sure
     need = similarity * _SKETCH - 5 * math.sqrt(_SKETCH * similarity * (1 - similarity))
     names, at = np.unique(np.concatenate(tokens), return_inverse=True)
     columns, mine = np.split(at, np.cumsum(size)[:-1]), np.zeros(len(names), "int32")
@@ -162,7 +162,8 @@ def similar_pairs(rows: dict[str, list], forest, similarity: float) -> Iterator[
         rest = rest[np.minimum(size[i], size[rest]) >= similarity * np.maximum(size[i], size[rest])]
         if cross:
             rest = rest[side[rest] != side[i]]
-        rest = rest[(marks[i] == marks[rest]).sum(1) >= np.where(small[rest] | small[i], need / 2, need)]
+        bar = np.where(tiny[rest] | tiny[i], 0, np.where(small[rest] | small[i], need / 2, need))
+        rest = rest[(marks[i] == marks[rest]).sum(1) >= bar]
         if not len(rest):
             continue
         mine[columns[i]] = 1

@@ -20,6 +20,7 @@ import corpus_pipeline
 from quarry.llm import chat_format as cf
 from quarry.llm import decontaminate as dc
 from quarry.llm import exact_dedup, line_dedup, ngram_join, packing, quality, queries, token_files, url_reputation, warc
+from quarry.llm.cluster import Forest
 from quarry.llm.tokens import Encoder
 
 DOC = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -345,6 +346,16 @@ def test_a_large_bucket_loses_no_pair(spark):
     assert got == {i: i - i % 2 for i in range(800)}
 
 
+def test_small_sets_at_the_threshold_are_linked():
+    """Four shingles against five: in some of 2000 such pairs the fifth takes most parts of the sketch."""
+    rng = np.random.default_rng(8)
+    for _ in range(2000):
+        t = rng.integers(0, 2**64, 5, "uint64")
+        sets = [np.sort(t[:4]), np.sort(t)]
+        rows = {"sketch": list(map(ngram_join.sketch, sets)), "tokens": [np.sort((x >> np.uint64(32)).astype("uint32")).tobytes() for x in sets], "side": [0, 0], "lo": [0], "hi": [0]}
+        assert list(ngram_join.similar_pairs(rows, Forest(2), 0.8)) == [(0, 1)]
+
+
 def test_near_copies_cases(spark):
     t = " ".join(f"a{i}" for i in range(50))
     d = docs(spark, t, t + " end", None, None, "", "few words").withColumn("id", F.lit("clash"))
