@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import drop_stored, stored
+from quarry.llm.common import drop_stored, join_frequent, stored
 
 #: Members that a task compares with one another at once.
 LIMIT = 1000
@@ -39,7 +39,7 @@ def sub_buckets(rows: DataFrame, sizes: DataFrame, limit: int = LIMIT) -> DataFr
     blocks = F.ceil(F.col("n") / (limit // 2)).cast("int")
     own = F.when(F.col("n") <= limit, 0).otherwise(F.pmod(F.xxhash64("id", F.lit(1)), blocks).cast("int"))
     other = F.explode(F.when(F.col("n") <= limit, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), blocks - 1)))
-    met = rows.join(sizes, "bucket").select("bucket", "id", own.alias("own"), other.alias("other"))
+    met = join_frequent(rows.select("bucket", "id"), sizes.select("bucket", "n"), "bucket", "n", ["id"], "inner").select("bucket", "id", own.alias("own"), other.alias("other"))
     return met.select("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id")
 
 
