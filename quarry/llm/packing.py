@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import arrow_rows, drop_stored, stored
+from quarry.llm.common import slices, stored
 from quarry.llm.tokens import encoder
 
 _PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -32,16 +32,15 @@ _PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigi
 
 def token_pieces(docs: DataFrame, vocabulary: str, end_id: int = 0, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """A row per piece: doc_id, piece, start, length, ids_crc32 (of unsigned little-endian 32-bit ids), and ids (those bytes) if asked for."""
-    arrow_rows(docs.sparkSession, 256)
     schema = _PIECES + (", ids binary" if with_ids else "")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, end = encoder(vocabulary), np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in slices(batches):
             rows: list[list] = [[] for _ in range(6)]
             for doc, raw in zip(batch.column(0).to_pylist(), code.ids(batch.column(1).to_pylist())):
-                data = np.frombuffer(raw, "<u2").astype("<u4").tobytes() + end
+                data = np.frombuffer(raw, code.dtype).astype("<u4").tobytes() + end
                 for i, a in enumerate(range(0, len(data), 4 * capacity)):
                     ids = data[a : a + 4 * capacity]
                     for column, x in zip(rows, (doc, i, a // 4, len(ids) // 4, zlib.crc32(ids), ids)):

@@ -3,11 +3,13 @@
 Both vocabularies split a text before their merges, and no piece crosses a single space or line
 feed between two other characters. So a text is cut there, words seen before are looked up, and
 the library encodes the others, many in one call with a separator of one known id between them.
-Texts with any other white space go to the library as they are.
+Texts with any other white space, or with the string of a special token, go to the library as they are.
+The tokenizer is used as its file describes it: the string of a special token in a text becomes that token.
 """
 
 from __future__ import annotations
 
+import re
 from functools import cache
 
 import numpy as np
@@ -21,15 +23,16 @@ GROUP_CHARS = 2_000_000
 class Encoder:
     """ids(texts): for each text the bytes of its ids, as little-endian numbers of the given type."""
 
-    def __init__(self, path: str, dtype: str = "<u2"):
+    def __init__(self, path: str, dtype: str | None = None):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.dtype = np.dtype(dtype)
+        self.dtype = np.dtype(dtype or id_type(self.tokenizer.get_vocab_size(with_added_tokens=True)))
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, added)) or r"(?!)")
         self.feed = self._library("\n").tobytes()
         self.separator = "\n" if self.feed else " \x01 "
         self.mark = int(self._library(self.separator)[0])
@@ -39,19 +42,23 @@ class Encoder:
     def _library(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
 
-    def _learn(self, known: dict[str, bytes], words: set[str], lead: str) -> None:
+    def _learn(self, known: dict[str, bytes], words: set[str], lead: str) -> set[str]:
+        """Adds the words to those known; returns the ones that can't be: empty or with white space inside."""
         new = [w for w in words if w not in known]
+        odd = {w for w in new if w.split() != [w]}
+        new = [w for w in new if w not in odd] if odd else new
         if not new:
-            return
+            return odd
         ids = self._library(self.separator.join([lead + w for w in new]))
         ends = np.flatnonzero(ids == self.mark).tolist() + [len(ids)]
         if len(ends) != len(new):  # some word holds the separator: each goes alone
             known.update((w, self._library(lead + w).tobytes()) for w in new)
-            return
+            return odd
         size, raw, start = self.dtype.itemsize, ids.tobytes(), 0
         for w, end in zip(new, ends):
             known[w] = raw[start * size : end * size]
             start = end + 1
+        return odd
 
     def ids(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
@@ -72,20 +79,26 @@ class Encoder:
         cut: list = []
         starts, rest = set(), set()
         for t in texts:
-            lines = [line.split(" ") for line in t.split("\n")]
-            if sum(map(len, lines)) != len(t.split()):  # white space at an end, doubled or of another kind
+            lines = None if self.special.search(t) else [line.split(" ") for line in t.split("\n")]
+            if lines and sum(map(len, lines)) != len(t.split()):  # white space at an end, doubled or of another kind
                 lines = None
             for words in lines or ():
                 starts.add(words[0])
                 rest.update(words[1:])
             cut.append(lines)
-        self._learn(self.first, starts, "")
-        self._learn(self.spaced, rest, " ")
+        odd = self._learn(self.first, starts, "") | self._learn(self.spaced, rest, " ")
+        if odd:  # white space of one kind can make up for another in the count above
+            cut = [None if lines is None or any(not odd.isdisjoint(ws) for ws in lines) else lines for lines in cut]
         first, spaced, feed = self.first, self.spaced.__getitem__, self.feed
         return [self._library(t).tobytes() if lines is None else feed.join([first[ws[0]] + b"".join(map(spaced, ws[1:])) for ws in lines]) for t, lines in zip(texts, cut)]
 
 
+def id_type(vocabulary_size: int) -> str:
+    """16-bit numbers where all ids fit, else 32-bit ones."""
+    return "<u2" if vocabulary_size <= 1 << 16 else "<u4"
+
+
 @cache
-def encoder(path: str, dtype: str = "<u2") -> Encoder:
+def encoder(path: str, dtype: str | None = None) -> Encoder:
     """One per worker, path and type."""
     return Encoder(path, dtype)
