@@ -4,8 +4,8 @@ write_archives() writes the records of each partition as one gzip stream, the fo
 archives come. normalise() inflates each such stream once, writes every record as a gzip member of
 its own and an index beside it (`.idx`: offset and length of each member). read_archives() then opens
 single members through the index. Which record is a response and which revisits it is settled
-before, by an aggregation on payload digests with map-side combine; the join back to the pages
-is one that Spark may split where a digest is frequent.
+before, by an aggregation on payload digests with map-side combine; on the way back to the pages the
+most frequent digests are broadcast (a fixed number), so that none of them lands in one task.
 
 Defined cases: a null payload is an empty one; of equal payloads of at least `min_bytes` bytes the
 largest page_id is the response (a null page_id is smaller than any other; rows that share the largest are
@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import arrow_rows, shared_dir, stored
+from quarry.llm.common import join_frequent, shared_dir, slices, stored
 from quarry.llm.token_files import filesystem
 
 _CHUNK = 1 << 20
@@ -60,15 +60,14 @@ def with_references(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """page_id, url, payload, refers_to (null for responses)."""
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
     size, key = F.octet_length("payload"), F.unhex(F.sha1("payload"))
-    first = rows.where(size >= min_bytes).groupBy(key.alias("k")).agg(F.count("*").alias("c"), F.max("page_id").alias("top")).where("c > 1").select("k", "top")
-    keyed = rows.withColumn("key", F.when(size >= min_bytes, key)).join(first, F.col("key") == F.col("k"), "left")
+    first = rows.where(size >= min_bytes).groupBy(key.alias("key")).agg(F.count("*").alias("c"), F.max("page_id").alias("top")).where("c > 1")
+    keyed = join_frequent(rows.withColumn("key", F.when(size >= min_bytes, key)), stored(first, "warc-copies"), "key", "c", ["page_id", "url"])
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("top")), F.col("top"))
     return keyed.select("page_id", "url", "payload", refers.alias("refers_to"))
 
 
 def write_archives(records: DataFrame, folder: str, date: str = "1970-01-01T00:00:00Z", level: int = 1) -> DataFrame:
     """One gzip stream of records per partition; returns a row per file: file, records."""
-    arrow_rows(records.sparkSession, 256)
     fs, path = filesystem(folder)
     fs.create_dir(path, recursive=True)
 
@@ -77,7 +76,7 @@ def write_archives(records: DataFrame, folder: str, date: str = "1970-01-01T00:0
         name = f"{TaskContext.get().partitionId():06d}.warc.gz"
         temp, n, sink = f"{path}/{name}.{uuid.uuid4().hex}", 0, None
         gz = zlib.compressobj(level, zlib.DEFLATED, 31)
-        for batch in batches:
+        for batch in slices(batches):
             sink = sink or fs.open_output_stream(temp)
             for page_id, url, payload, refers in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "refers_to"))):
                 sink.write(gz.compress(record(page_id, url, payload, digest(payload), refers, date)))
@@ -168,7 +167,7 @@ def read_archives(index: DataFrame, folder: str) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = filesystem(folder)
-        for batch in batches:
+        for batch in slices(batches, 4096):
             rows: list[tuple] = []
             name = stream = None
             for file, offset, length in zip(*(batch.column(c).to_pylist() for c in ("file", "offset", "length"))):
