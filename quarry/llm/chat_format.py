@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import arrow_rows, stored
+from quarry.llm.common import stored
 
 ROLES = ("system", "user", "assistant")
 START, SYSTEM, USER, ASSISTANT = range(4)
@@ -93,9 +93,9 @@ def _dealt(turns: DataFrame) -> DataFrame:
 
 
 def repair(turns: DataFrame, costs: Costs = Costs()) -> DataFrame:
-    """A row per turn: conv_id, turn, place, role, text, new_role, merged, inserted_before (roles), inserted_after, cost."""
+    """A row per turn: conv_id, turn, place, role, text, new_role, merged, inserted_before (roles), inserted_after, cost,
+    opens and closes (whether the turn is its conversation's first or last)."""
     spark = turns.sparkSession
-    arrow_rows(spark, 4096)
     dealt = _dealt(turns)
     ordered = dealt.select("task", "place", "conv_id", "role").repartition("task").sortWithinPartitions("task", "place")
 
@@ -103,8 +103,7 @@ def repair(turns: DataFrame, costs: Costs = Costs()) -> DataFrame:
         """Of each stretch: its first and last conversation and their cost matrices."""
         for task, rows in _stretches(batches):
             convs, roles = rows["conv_id"], rows["role"]
-            head = _run_end(convs)
-            tail = len(convs) - _run_end(convs[::-1])
+            head, tail = _run_end(convs), _last_run(convs)
             first, last = (_product(roles[a:b], costs) for a, b in ((0, head), (tail, len(convs))))
             yield pa.RecordBatch.from_pydict({"task": [task], "first": [convs[0]], "last": [convs[-1]], "one": [head == len(convs)], "head": [first.ravel().tolist()], "tail": [last.ravel().tolist()]}, schema=_SUMMARY)
 
@@ -117,7 +116,7 @@ def repair(turns: DataFrame, costs: Costs = Costs()) -> DataFrame:
     def go_through(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of each stretch: the state after its last turn for each state before the last conversation's part."""
         for task, rows in _stretches(batches):
-            tail = len(rows["conv_id"]) - _run_end(rows["conv_id"][::-1])
+            tail = _last_run(rows["conv_id"])
             steps, ends = [step_matrix(r, costs) for r in rows["role"][tail:]], np.array(rows["leave"][0])
             yield pa.RecordBatch.from_pydict({"task": [task], "ends": [[greedy(steps, s, ends)[-1] for s in range(4)]]}, schema=pa.schema([("task", pa.int32()), ("ends", pa.list_(pa.int32()))]))
 
@@ -129,8 +128,8 @@ def repair(turns: DataFrame, costs: Costs = Costs()) -> DataFrame:
         for _, rows in _stretches(batches):
             yield _decide(rows, costs)
 
-    decided = ways.mapInArrow(decide, "place bigint, new_role string, merged boolean, inserted_before array<string>, inserted_after array<string>, cost double")
-    return dealt.join(decided, "place").select("conv_id", "turn", "place", "role", "text", "new_role", "merged", "inserted_before", "inserted_after", "cost")
+    decided = ways.mapInArrow(decide, "place bigint, new_role string, merged boolean, inserted_before array<string>, inserted_after array<string>, cost double, opens boolean, closes boolean")
+    return dealt.join(decided, "place").select("conv_id", "turn", "place", "role", "text", "new_role", "merged", "inserted_before", "inserted_after", "cost", "opens", "closes")
 
 
 _SUMMARY = pa.schema([("task", pa.int32()), ("first", pa.int64()), ("last", pa.int64()), ("one", pa.bool_()), ("head", pa.list_(pa.float64())), ("tail", pa.list_(pa.float64()))])
@@ -153,13 +152,22 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[st
         yield key, rows
 
 
-def _run_end(xs: list) -> int:
-    n = 1
-    while n < len(xs) and xs[n] == xs[0]:
+def _run_end(xs: list, i: int = 0) -> int:
+    """Where the run of equal values that begins at i ends."""
+    n = i + 1
+    while n < len(xs) and xs[n] == xs[i]:
         n += 1
     return n
 
 
+def _last_run(xs: list) -> int:
+    """Where the last run of equal values begins."""
+    n = len(xs) - 1
+    while n and xs[n - 1] == xs[-1]:
+        n -= 1
+    return n
+
+
 def _product(roles: list, costs: Costs) -> np.ndarray:
     m = np.where(np.eye(4) > 0, 0.0, _INF)
     for r in roles:
@@ -190,10 +198,10 @@ def _enter(rows: list, ends: dict[int, list[int]]) -> list[tuple[int, int]]:
 
 def _decide(rows: dict[str, list], costs: Costs) -> pa.RecordBatch:
     n = len(rows["place"])
-    new, merged, before, after, cost = [], [], [], [], []
+    new, merged, before, after, cost, opens, closes = [], [], [], [], [], [], []
     i = 0
     while i < n:
-        j = i + _run_end(rows["conv_id"][i:])
+        j = _run_end(rows["conv_id"], i)
         start = rows["enter"][0] if i == 0 else START
         goes_on = j == n and rows["goes_on"][0]
         ends = np.array(rows["leave"][0]) if j == n else closing(costs)
@@ -207,25 +215,23 @@ def _decide(rows: dict[str, list], costs: Costs) -> pa.RecordBatch:
             before.append([ROLES[x - 1] for x in (() if a == b else _BETWEEN[a, b])])
             after.append([ROLES[x - 1] for x in tail])
             cost.append(float(steps[k][a, b] + costs.insert * len(tail)))
+            opens.append(a == START)
+            closes.append(last)
         i = j
     return pa.RecordBatch.from_arrays(
-        [pa.array(rows["place"], pa.int64()), pa.array(new), pa.array(merged), pa.array(before, pa.list_(pa.string())), pa.array(after, pa.list_(pa.string())), pa.array(cost)],
-        names=["place", "new_role", "merged", "inserted_before", "inserted_after", "cost"],
+        [pa.array(rows["place"], pa.int64()), pa.array(new), pa.array(merged), pa.array(before, pa.list_(pa.string())), pa.array(after, pa.list_(pa.string())), pa.array(cost), pa.array(opens), pa.array(closes)],
+        names=["place", "new_role", "merged", "inserted_before", "inserted_after", "cost", "opens", "closes"],
     )
 
 
 def render(repaired: DataFrame, opening: str = "<|{role}|>\n", closing_mark: str = "<|end|>\n", joint: str = "\n\n") -> DataFrame:
     """repaired with `rendered`: what each turn adds. The pieces of a conversation in the order of place, after one another, are its text.
 
-    A turn's closing mark stands before whatever follows it; the last piece of a conversation closes itself
-    only where turns were inserted after it, so a reader adds one mark at the end.
+    A turn's closing mark stands before whatever follows it, as a merged turn may go on; the last piece closes itself and the
+    turns inserted after it.
     """
     mark = lambda role: F.replace(F.lit(opening), F.lit("{role}"), role)
     empty = lambda roles: F.array_join(F.transform(roles, lambda r: F.concat(mark(r), F.lit(closing_mark))), "")
-    body = F.coalesce("text", F.lit(""))
-    first = F.col("opens")
-    lead = F.when(F.col("merged"), F.lit(joint)).otherwise(F.concat(F.when(first, "").otherwise(closing_mark), empty(F.col("inserted_before")), mark(F.col("new_role"))))
-    tail = F.when(F.size("inserted_after") > 0, F.concat(F.lit(closing_mark), F.array_join(F.transform("inserted_after", lambda r: mark(r)), closing_mark))).otherwise("")
-    firsts = repaired.groupBy("conv_id").agg(F.min("place").alias("opening_place")).withColumnRenamed("conv_id", "c")
-    joined = repaired.join(firsts, F.col("place") == F.col("opening_place"), "left").withColumn("opens", F.col("opening_place").isNotNull())
-    return joined.withColumn("rendered", F.concat(lead, body, tail)).drop("opens", "opening_place", "c")
+    lead = F.when(F.col("merged"), F.lit(joint)).otherwise(F.concat(F.when(F.col("opens"), "").otherwise(closing_mark), empty(F.col("inserted_before")), mark(F.col("new_role"))))
+    tail = F.when(F.col("closes"), F.concat(F.lit(closing_mark), empty(F.col("inserted_after")))).otherwise("")
+    return repaired.withColumn("rendered", F.concat(lead, F.coalesce("text", F.lit("")), tail))
