@@ -3,9 +3,9 @@
 Items are normalised to words (A-Z lower-cased; runs of letters, digits and anything beyond
 ASCII) and put into a suffix automaton. Document words stream through it; at each
 word the length of the longest matching suffix is known, so every occurrence of an item window is
-found in one pass. The automaton is built from at most `block_words` item words, broadcast, and
-applied in a narrow map: documents are never shuffled. More items make more blocks, each applied
-in turn to the same rows, so what is broadcast stays bounded.
+found in one pass. Items are dealt into blocks of about `block_words` words; tasks build an automaton
+of each and write it to the shared folder. One narrow map applies them: documents are never shuffled, nothing
+is broadcast, and of many blocks a task holds one automaton at a time, for an Arrow batch of documents.
 
 Defined cases: null text has no words; an item without words gives no window, one shorter than
 the window is a window itself; a repeated item id counts once and a null one counts as an empty
@@ -14,6 +14,7 @@ string; empty tables give no hits; extra columns are carried through scan() and
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 from itertools import repeat
@@ -24,7 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import arrow_rows
+from quarry.llm.cluster import runs
+from quarry.llm.common import shared_dir
+from quarry.llm.token_files import filesystem, write_whole
 
 #: Item words in one automaton: about 300 bytes a word.
 BLOCK_WORDS = 500_000
@@ -158,19 +161,29 @@ def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def automata(items: DataFrame, id_col: str, text_col: str, window: int, block_words: int) -> Iterator[Automaton]:
-    """Automata over blocks of items; one block is on the driver at a time. Words of an item are never split:
-    a longer item gets a block of its own."""
-    block: list[tuple[str, list[bytes]]] = []
-    size = 0
-    for row in items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(text_col).cast("string")).toLocalIterator():
-        ws = words(row[1])
-        if block and size + len(ws) > block_words:
-            yield Automaton(block, window)
-            block, size = [], 0
-        block.append((row[0], ws))
-        size += len(ws)
-    yield Automaton(block, window)
+def automata(items: DataFrame, id_col: str, text_col: str, window: int, block_words: int) -> list[str]:
+    """Files with an automaton each, in the shared folder. Items are dealt into blocks by their hash, so many that a block
+    holds about block_words words; each block is built in a task of its own. An item's words are never split."""
+    spark = items.sparkSession
+    named = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("name"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    total = named.agg(F.sum(F.regexp_count("text", F.lit(_WORD.pattern)).cast("long"))).first()[0] or 0
+    n = max(1, -(-total // block_words))
+    folder = shared_dir(spark, "automata")
+    fs, path = filesystem(folder)
+    fs.create_dir(path, recursive=True)
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, path = filesystem(folder)
+        for rows in runs(batches, 1):
+            k = rows["block"][0]
+            auto = Automaton([(name, words(text)) for name, text in zip(rows["name"], rows["text"])], window)
+            write_whole(fs, f"{path}/{k:06d}.pickle", pickle.dumps(auto, 5))
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64())], names=["block"])
+
+    block = F.pmod(F.xxhash64("name", "text"), F.lit(n)).alias("block")
+    dealt = named.select(block, "name", "text").distinct().repartition(n, "block").sortWithinPartitions("block")
+    built = dealt.mapInArrow(build, "block bigint").collect()  # a number a block
+    return [f"{folder}/{r['block']:06d}.pickle" for r in sorted(built)]
 
 
 _FOUND = T.StructType(
@@ -182,36 +195,51 @@ _FOUND = T.StructType(
 )
 
 
-def scan(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
+def scan(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 10, block_words: int = BLOCK_WORDS, min_span: int | None = None) -> DataFrame:
     """docs with n_words, hit_spans (first word, last word + 1) and hit_items (sorted as strings).
 
-    Columns of docs with these names are replaced.
+    Columns of docs with these names are replaced. With min_span, the text loses its hit spans of at least that many words and
+    those of whole items shorter than the window.
     """
-    spark = docs.sparkSession
-    arrow_rows(spark)
-    out = docs.drop(*_FOUND.names).select("*", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<array<bigint>>").alias("hit_spans"), F.array().cast("array<string>").alias("hit_items"))
-    at = [out.columns.index(x) for x in _FOUND.names]
-    text_at = out.columns.index(text_col)
-    for automaton in automata(items, item_col, item_text, window, block_words):
-        shared = spark.sparkContext.broadcast(automaton)
-
-        def apply(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            auto = shared.value
-            for batch in batches:
-                n, all_spans, all_items = [], [], []
-                for text, spans, names in zip(batch.column(text_at), batch.column(at[1]).to_pylist(), batch.column(at[2]).to_pylist()):
+    files = automata(items, item_col, item_text, window, block_words)
+    base = docs.drop(*_FOUND.names)
+    schema = T.StructType(list(base.schema.fields) + list(_FOUND.fields))
+    text_at = base.columns.index(text_col)
+    arrow = [pa.int64(), pa.list_(pa.list_(pa.int64())), pa.list_(pa.string())]
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: tuple[str, Automaton] | None = None  # one automaton at a time
+        for batch in batches:
+            spans: list[list] = [[] for _ in range(batch.num_rows)]
+            found: list[set] = [set() for _ in range(batch.num_rows)]
+            n = [0] * batch.num_rows
+            for file in files:
+                if kept is None or kept[0] != file:
+                    kept = None
+                    kept = (file, _load(file))
+                for i, text in enumerate(batch.column(text_at)):
                     ws = words(text.as_py())
-                    more, found = auto.match(ws)
-                    n.append(len(ws))
-                    all_spans.append(_union([tuple(x) for x in spans] + more) if more else spans)
-                    all_items.append(sorted(found.union(names)))
-                columns = list(batch.columns)
-                for i, x in zip(at, (n, all_spans, all_items)):
-                    columns[i] = pa.array(x, batch.schema.field(i).type)
-                yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
-
-        out = out.mapInArrow(apply, out.schema)
-    return out
+                    more, names = kept[1].match(ws)
+                    n[i] = len(ws)
+                    if more:
+                        spans[i] = _union(spans[i] + more)
+                        found[i] |= names
+            if not files:
+                n = [len(words(t.as_py())) for t in batch.column(text_at)]
+            columns = list(batch.columns)
+            if min_span is not None:
+                cut = (cut_spans(t, s, min_span, window) for t, s in zip(batch.column(text_at), spans))
+                columns[text_at] = pa.array(cut, batch.schema.field(text_at).type)
+            made = [pa.array(x, k) for x, k in zip((n, spans, map(sorted, found)), arrow)]
+            yield pa.RecordBatch.from_arrays(columns + made, names=[*batch.schema.names, *_FOUND.names])
+
+    return base.mapInArrow(apply, schema)
+
+
+def _load(file: str) -> Automaton:
+    fs, path = filesystem(file)
+    with fs.open_input_stream(path) as f:
+        return pickle.loads(f.read())
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -221,11 +249,16 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, id_col: s
     return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("hit_items").cast("long").alias("n_items"), F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
 
 
-def cut_spans(text: str, spans: list[list[int]]) -> str:
-    """text without the words of the spans and what stands between them."""
+def cut_spans(text: pa.StringScalar, spans: list[tuple[int, int]], min_span: int, window: int) -> str | None:
+    """text without the words of the spans, and what stands between them, that have min_span words or, being whole short items,
+    fewer than the window."""
+    text = text.as_py()
+    gone = [(a, b) for a, b in spans if b - a >= min_span or b - a < window]
+    if not gone:
+        return text
     at = [m.span() for m in _WORD.finditer(text.translate(_LOWER))]
     out, done = [], 0
-    for a, b in spans:
+    for a, b in gone:
         out.append(text[done : at[a][0]])
         done = at[b - 1][1]
     return "".join(out) + text[done:]
@@ -238,17 +271,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, min_span:
     """docs without contaminated text: hit spans of at least min_span words (or whole shorter items) go, and
     documents of whose words more than max_coverage are hit go as a whole. Other rows stay as they are;
     chars_col, if there, is counted again for changed texts."""
-    found = scan(docs, items, text_col=text_col, window=window)
+    named = docs.withColumnsRenamed({c: f"_kept_{c}" for c in docs.columns if c in _FOUND.names})  # columns that clash
+    found = scan(named, items, text_col=text_col, window=window, min_span=min_span)
     hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
-
-    @F.udf("string", useArrow=True)
-    def cut(text, spans):
-        gone = [(a, b) for a, b in spans if b - a >= min_span or b - a < window]  # under a window: a whole short item
-        return cut_spans(text, gone) if gone else text
-
-    kept = found.where(hit <= F.lit(max_coverage) * F.col("n_words"))
-    clean = F.when(F.size("hit_spans") == 0, F.col(text_col)).otherwise(cut(F.col(text_col), F.col("hit_spans")))
-    out = kept.withColumn(text_col, clean)
+    out = found.where(hit <= F.lit(max_coverage) * F.col("n_words"))
     if chars_col in docs.columns:
         out = out.withColumn(chars_col, F.when(F.size("hit_spans") == 0, F.col(chars_col)).otherwise(F.length(text_col).cast(docs.schema[chars_col].dataType)))
-    return out.select(*docs.columns)
+    return out.drop(*_FOUND.names).withColumnsRenamed({f"_kept_{c}": c for c in docs.columns if c in _FOUND.names}).select(*docs.columns)
