@@ -6,7 +6,8 @@ a lasso penalty weighs rules and scaled statistics; most weights end at zero. Wh
 compiled into a column: the sigmoid of a sum of CASE expressions.
 
 The sample is the `sample_rows` labelled rows of least hash, so it is the same at every partitioning;
-beyond that bound (and a fifth more, drawn by hash before the sort) more labels don't change the cost. Every document is scored.
+beyond that bound (and a fifth more, drawn by hash before the sort) more labels don't change the cost. Statistics are taken
+of these rows to fit, and of every document to score it.
 
 Defined cases: null and empty texts have all statistics zero and get a score like any other; labels
 that are null are left out, of several labels of a document the least counts; without labels of both kinds
@@ -21,8 +22,6 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import stored
-
 SAMPLE_ROWS = 20_000
 
 
@@ -150,29 +149,28 @@ def held_out(doc_id: Column, folds: int = 4, fold: int = 2) -> Column:
 
 def score(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """A row per document: doc_id, held_out, score, predicted (1 if the score is at least 0.7)."""
-    stats = statistics(F.col("text"))
-    table = stored(docs.select("doc_id", *[c.alias(n) for n, c in stats.items()]), "quality-statistics")
-    model = learn(table, labels, list(stats), sample_rows)
-    scored = table.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), model.column().alias("score"))
+    model, stats = learn(docs, labels, sample_rows), statistics(F.col("text"))
+    scored = docs.select("doc_id", *[c.alias(n) for n, c in stats.items()]).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), model.column().alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
-def learn(table: DataFrame, labels: DataFrame, names: list[str], sample_rows: int = SAMPLE_ROWS) -> RuleModel:
-    """The model from at most sample_rows labelled rows, none of them held out."""
-    known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").alias("labelled")).agg(F.min("quality").cast("double").alias("y"))
-    met = table.join(known, F.col("doc_id") == F.col("labelled")).withColumn("_draw", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)))
-    share = 1.2 * sample_rows / max(1, known.count())
+def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> RuleModel:
+    """The model from at most sample_rows labelled documents, none of them held out. Only theirs are texts that it looks at."""
+    known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").alias("labelled")).agg(F.min("quality").cast("double").alias("_y"))
+    draw, stats = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)), statistics(F.col("text"))
+    there = docs.join(known, F.col("doc_id") == F.col("labelled"), "left_semi").count()
+    texts = docs.select("doc_id", "text", draw.alias("_draw"))
+    share = 1.2 * sample_rows / max(1, there)
     if share < 1:  # a sort with a limit sends its rows from every task; few of each are in the running
-        met = met.where(F.col("_draw") < int(share * (1 << 40)))
-    rows = met.orderBy("_draw", "doc_id", *names).limit(sample_rows).select(*names, "y").toPandas()
-    return fit(rows[names].to_numpy("float64"), rows["y"].to_numpy("float64"), names)
+        texts = texts.where(F.col("_draw") < int(share * (1 << 40)))
+    met = texts.join(known, F.col("doc_id") == F.col("labelled")).select("doc_id", "_draw", "_y", *[c.alias(n) for n, c in stats.items()])
+    rows = met.orderBy("_draw", "doc_id", *stats).limit(sample_rows).select(*stats, "_y").toPandas()
+    return fit(rows[list(stats)].to_numpy("float64"), rows["_y"].to_numpy("float64"), list(stats))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, limit: float = 0.7, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The documents with a score of at least the limit, all columns as they were."""
-    stats = statistics(F.col("text"))
+    model, stats = learn(docs, labels, sample_rows), statistics(F.col("text"))
     inner = {n: f"_quality_{n}" for n in stats}
-    table = docs.select("doc_id", *[c.alias(n) for n, c in stats.items()])
-    model = learn(table, labels, list(stats), sample_rows)
     renamed = RuleModel(model.intercept, [(tuple((inner[n], s, t) for n, s, t in r), w) for r, w in model.rules], [(inner[n], a, b, w) for n, a, b, w in model.linear])
     return docs.withColumns({inner[n]: c for n, c in stats.items()}).where(renamed.column() >= limit).select(*docs.columns)
