@@ -16,13 +16,15 @@ members need only one of them. Linked sets form classes by connected components;
 links are counted exactly.
 
 Defined cases: a null text or one without words is similar to nothing; an empty table gives an empty
-result; rows with equal doc_ids are one document for near_copies(); extra columns are ignored.
+result; near_duplicates() has a row for each row of its input, repeated ones too; near_copies() tells rows with equal
+doc_ids apart by their texts, keeps one of rows that are equal in both, and takes a null doc_id as the smallest; extra columns
+are kept by near_copies() and ignored by near_duplicates().
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -31,22 +33,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.cluster import BROADCAST_IDS, LIMIT, bucket_sizes, classes, in_order, look_up, one_of_equals, runs, spanning_links, sub_buckets
-from quarry.llm.common import arrow_rows, drop_stored, stored
+from quarry.llm.common import drop_stored, join_frequent, slices, stored
 from quarry.llm.decontaminate import words
+from quarry.llm.line_dedup import mix as _mix
 
-#: Sets compared with one another in a task: about 1.5 kB each, and a comparison of all sketches takes part of a second.
-COMPARED = 4000
+#: Sets compared with one another in a task: about 1.5 kB each.
+COMPARED = 1500
 _SKETCH = 64
 _KEPT_WORDS = 500_000
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    """A finaliser of 64-bit hashes (fixed multipliers of splitmix64)."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 class Shingler:
     """Sorted distinct shingle hashes of a text; keeps the hashes of words it has seen."""
 
@@ -106,14 +102,12 @@ def runs_by_depth(recall: float, similarity: float, c: float, depth: int) -> tup
     return first, runs_for(1 - spare / max(1, depth - 1), similarity, c)
 
 
-def shingle_sets(docs: DataFrame, size: int, c: float, n_runs: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, id (of the set; null without words), paths, sketch and tokens (top 32 bits, sorted, as bytes)."""
-    arrow_rows(docs.sparkSession, 256)
-
+def shingle_sets(docs: DataFrame, size: int, c: float, n_runs: int, id_col: str, text_col: str, keep: Sequence[str] = ()) -> DataFrame:
+    """doc_id, id (of the set; null without words), paths, sketch, tokens (top 32 bits, sorted, as bytes) and the bigint columns to keep."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(size)
         kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
-        for batch in batches:
+        for batch in slices(batches):
             rows: list[list] = [[] for _ in kinds]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 t = shingles(text)
@@ -123,10 +117,11 @@ def shingle_sets(docs: DataFrame, size: int, c: float, n_runs: int, id_col: str,
                     row = (doc, xxhash.xxh3_64_intdigest(t.tobytes()) - 2**63, paths.view("int64"), sketch(t), np.unique((t >> np.uint64(32)).astype("uint32")).tobytes())
                 for column, x in zip(rows, row):
                     column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], names=["doc_id", "id", "paths", "sketch", "tokens"])
+            made = [pa.array(c, k) for c, k in zip(rows, kinds)]
+            yield pa.RecordBatch.from_arrays([*made, *batch.columns[2:]], names=["doc_id", "id", "paths", "sketch", "tokens", *keep])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return stored(texts.mapInArrow(task, "doc_id bigint, id bigint, paths array<bigint>, sketch binary, tokens binary"), "shingle-sets")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *keep)
+    return stored(texts.mapInArrow(task, "doc_id bigint, id bigint, paths array<bigint>, sketch binary, tokens binary" + "".join(f", {k} bigint" for k in keep)), "shingle-sets")
 
 
 def _longer_paths(members: DataFrame, c: float, n_runs: int, step: int) -> DataFrame:
@@ -134,7 +129,7 @@ def _longer_paths(members: DataFrame, c: float, n_runs: int, step: int) -> DataF
     seeds = [(step * 1024 + r) * 0x2545F4914F6CDD1D for r in range(n_runs)]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 2048):
             parent, child, ids = [], [], []
             for b, i, t in zip(*(batch.column(k).to_pylist() for k in ("bucket", "id", "tokens"))):
                 tokens = np.frombuffer(t, "uint32").astype("uint64")
@@ -258,17 +253,31 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, size: int = 5, rec
 
     linked = in_order(subs, payload).mapInArrow(count, "id bigint, part bigint").groupBy("id").agg(F.sum("part").alias("others"))
     by_set = (
-        named.join(linked, "id", "left")
-        .join(class_sizes.select(F.col("bucket").alias("root"), "class_size", "class_id"), "root", "left")
-        .select("id", F.coalesce("class_id", "first_doc").alias("class_id"), F.coalesce("class_size", "copies").alias("class_size"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+        join_frequent(named.join(linked, "id", "left"), class_sizes.withColumnRenamed("bucket", "root"), "root", "n", ["id"])
+        .select("id", "copies", F.coalesce("class_id", "first_doc").alias("class_id"), F.coalesce("class_size", "copies").alias("class_size"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
     )
     one = F.lit(1).cast("long")
-    return sets.select("doc_id", "id").join(by_set, "id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_size", one).alias("class_size"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    return join_frequent(sets.select("doc_id", "id"), stored(by_set, "set-links"), "id", "copies", ["doc_id"]).select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_size", one).alias("class_size"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs without the near copies: of each class the document of the least id stays."""
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
-    gone = stored(found.where("doc_id != class_id").select(F.col("doc_id").alias("_gone")).distinct(), "near-copies")
-    few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
+def near_copies(docs: DataFrame, similarity: float = 0.8, size: int = 5, recall: float = 0.9999, c: float = 4.0, limit: int = COMPARED, depth: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the near copies: of each class the row of the least (doc_id, hash of text) stays, once."""
+    key, mark = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))), F.xxhash64(text_col)
+    marked = docs.select(key.alias("doc"), mark.alias("mark"), F.col(text_col).alias("text"))
+    sets = shingle_sets(marked, size, c, runs_by_depth(recall, similarity, c, depth)[0], "doc", "text", ["mark"])
+    roots = set_classes(sets, similarity, c, limit, depth, recall)
+    of_set = sets.where("id IS NOT NULL").groupBy("id").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "mark")).alias("first")).join(roots.select("id", "root"), "id", "left")
+    of_set = stored(of_set.select("id", "copies", "first", F.coalesce("root", "id").alias("root")), "set-firsts")
+    of_class = stored(of_set.groupBy("root").agg(F.sum("copies").alias("rows"), F.count("*").alias("sets"), F.min("first").alias("stays")).where(F.col("rows") > 1), "class-firsts")
+    stays = stored(join_frequent(of_set.select("id", "copies", "root"), of_class.select("root", "sets", "stays"), "root", "sets", ["id"], "inner").select("id", "copies", "stays"), "sets-that-stay")
+    near = join_frequent(sets.select("doc_id", "mark", "id"), stays, "id", "copies", ["doc_id", "mark"], "inner")
+    rows = near.groupBy(F.col("doc_id").alias("_doc"), F.col("mark").alias("_mark")).agg(F.count("*").alias("_times"), F.first(F.struct("doc_id", "mark") == F.col("stays")).alias("_stays"))
+    marks = stored(rows.where("NOT _stays OR _times > 1"), "near-copies")
+    few = marks.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    met = (key == F.col("_doc")) & (mark == F.col("_mark"))
+    marks = F.broadcast(marks) if few else marks
+    if marks.where("_stays").isEmpty():
+        return docs.join(marks, met, "left_anti")
+    both = docs.join(marks, met, "left")
+    once = both.where("_stays").groupBy("_doc", "_mark").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_row"))  # rows equal in id and text
+    return both.where("_stays IS NULL").select(*docs.columns).unionByName(once.select("_row.*"))
