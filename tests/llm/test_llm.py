@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
+from functools import cache
 
 import numpy as np
 import public_tokenizers
@@ -15,18 +17,25 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from oracle import same
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from quarry.llm import chat_format as cf
 from quarry.llm import decontaminate as dc
-from quarry.llm import exact_dedup, line_dedup, ngram_join, packing, quality, queries, token_files, url_reputation, warc
+from quarry.llm import common, exact_dedup, line_dedup, ngram_join, packing, quality, queries, token_files, tokens, url_reputation, warc
 from quarry.llm.cluster import Forest
-from quarry.llm.tokens import Encoder
+from quarry.llm.tokens import Encoder, encoder
 
 DOC = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 WORDS, BYTES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 
 
+@cache
+def library(path):
+    """The tokenizer as its file describes it, special strings and all."""
+    return Tokenizer.from_file(path)
+
+
 def docs(spark, *texts):
     rows = [(i, t, "en", "s", None if t is None else len(t)) for i, t in enumerate(texts)]
     return spark.createDataFrame(rows, DOC)
@@ -90,6 +99,15 @@ def test_edit_distance(a, b, k):
     assert line_dedup.within(a, b, k) == (line_dedup._plain(a, b) <= k)
 
 
+def test_keys_are_of_the_substring_alone():
+    """The same segment gives the same key wherever the line lies among the others, to the very end of the table of powers."""
+    made = line_dedup.Keys(2)
+    lines = ["x" * 20, "some line of text", "é" * 65_480, "some line of text"]
+    keys, use = made(lines)
+    assert (keys[1] == keys[3]).all() and use[0].sum() < use[1].sum()  # of equal characters, most probes equal the index keys
+    assert (made(["some line of text"])[0][0] == keys[1]).all() and made([])[0].shape == (0, 12)
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text("abcd", min_size=4, max_size=20), st.lists(st.tuples(st.integers(0, 19), st.sampled_from(["i", "d", "s"]), st.sampled_from("abcd")), max_size=2))
 def test_segments_lose_no_pair(a, edits):
@@ -98,8 +116,9 @@ def test_segments_lose_no_pair(a, edits):
         p = min(p, len(b))
         b = b[:p] + (ch if op != "d" else "") + b[p + (op != "i") :]
     if min(len(a), len(b)) >= 3:
-        (ia, pa), (ib, pb) = line_dedup.keys(a, 2), line_dedup.keys(b, 2)
-        assert ia & pb or ib & pa
+        keys, use = line_dedup.Keys(2)(["before", a, "between", b])
+        all_a, all_b = (set(keys[i][use[i]].tolist()) for i in (1, 3))
+        assert all_b.intersection(keys[1][:3][use[1][:3]].tolist()) or all_a.intersection(keys[3][:3][use[3][:3]].tolist())
 
 
 def brute_lines(rows, distance, min_chars):
@@ -154,7 +173,32 @@ def test_line_dedup_cases(spark):
     d = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id bigint, text string, place string").withColumn("n_chars", F.length("text").cast("long"))
     out = {r["doc_id"]: (r["text"], r["n_chars"]) for r in line_dedup.drop_lines(d).collect()}
     assert out == {1: (f"{a}\n{b}", 66), 2: ("\nok", 3), 4: (None, None), 5: ("", 0), 6: ("ok", 2), None: ("ok", 2)}
-    assert line_dedup.drop_lines(d.limit(0)).count() == 0
+    assert line_dedup.drop_lines(d.limit(0)).count() == 0 and line_dedup.line_report(d.limit(0)).count() == 0
+
+
+def test_line_dedup_repeated_rows_and_white_space(spark):
+    a, b = "The same line in two documents.", "Another line that nobody else has."
+    rows = [(1, a), (1, a), (1, f"{b}\n{a}"), (2, f"{a}\n\t \x0b"), (3, "\t\n "), (4, f"{b}\nThe same lane in two documents")]
+    clash = [F.lit(0).alias(n) for n in ("doc", "mark", "places", "near", "line", "id", "keys", "kept", "root", "n")]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string").select("*", *clash)
+    got = line_dedup.drop_lines(d)
+    assert got.columns == d.columns
+    # rows (1, a) are one document, and which of the two texts of doc_id 1 comes first is told by their hashes
+    first = sorted([a, f"{b}\n{a}"], key=lambda t: spark.range(1).select(F.xxhash64(F.lit(t))).first()[0])
+    want = [a, a, b] if first[0] == a else [f"{b}\n{a}"]
+    assert sorted(r["text"] for r in got.where("doc_id = 1").collect()) == sorted(want)
+    assert [r["doc_id"] for r in got.where("doc_id > 1").collect()] == [3]  # blank before, so left alone; 2 and 4 have nothing left
+    rep = {r["doc_id"]: r for r in line_dedup.line_report(d.where("doc_id > 1")).collect()}
+    assert [(rep[i]["n_lines"], rep[i]["n_gone"], rep[i]["n_near"]) for i in (2, 3, 4)] == [(1, 0, 0), (0, 0, 0), (2, 1, 1)]
+
+
+def test_long_documents_lose_lines_in_linear_time(spark):
+    lines = [f"line number {i} of a very long document" for i in range(100_000)]
+    far = ["".join(random.Random(i).choices("abcdefghij", k=30)) for i in range(100_000)]
+    d = docs(spark, "\n".join(far), "\n".join(x for pair in zip(far, far) for x in pair), "y" * 1_000_000 + "\nz")
+    began = time.time()
+    got = {r["doc_id"]: r["n_gone"] for r in line_dedup.line_report(d).collect()}
+    assert got == {0: 0, 1: 200_000, 2: 0} and time.time() - began < 90, lines[0]
 
 
 # --- 3 URLs ---
@@ -220,7 +264,7 @@ def test_packing_is_exact(spark):
     sf = SF.replace("0.001", "0.01")
     d = spark.read.parquet(f"{sf}/documents.parquet")
     got = queries.op5_pack(spark, sf).toPandas()
-    lib = Encoder(WORDS).tokenizer
+    lib = library(WORDS)
     for doc, part in got.groupby("doc_id"):
         if doc % 9 == 0:
             ids = np.array(lib.encode(d.where(F.col("doc_id") == int(doc)).first()["text"], add_special_tokens=False).ids + [0], "<u4")
@@ -363,6 +407,54 @@ def test_near_copies_cases(spark):
     assert ngram_join.near_copies(d.limit(0)).count() == 0
 
 
+def test_near_copies_by_row(spark):
+    """Rows that share a doc_id are told apart by their texts; equal rows are one; a null id comes first."""
+    t, u = (" ".join(f"{x}{i}" for i in range(50)) for x in "ab")
+    rows = [(1, t, 0), (2, t + " end", 1), (2, u, 2), (3, u + " end", 3), (4, "other words", 4), (4, "other words", 5), (None, None, 6), (None, None, 7)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, id int").withColumn("mark", F.lit("clash"))
+    got = ngram_join.near_copies(d)
+    assert got.columns == d.columns
+    left = got.collect()
+    assert sorted(r["id"] for r in left if r["id"] not in (4, 5)) == [0, 2, 6, 7] and len(left) == 5
+    null_first = spark.createDataFrame([(1, t), (None, t + " end"), (1, t)], "doc_id bigint, text string")
+    assert [r["doc_id"] for r in ngram_join.near_copies(null_first).collect()] == [None]
+    both = ngram_join.near_duplicates(d)
+    assert both.count() == 8 and {r["n_links"] for r in both.where("doc_id = 4").collect()} == {1}
+
+
+def brute_classes(spark, sf):
+    """Classes and link counts of documents by all pairs."""
+    rows = sorted((r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect())
+    found, links = brute_near([t for _, t in rows])
+    return {d: (rows[c][0], n) for (d, _), c, n in zip(rows, found, links)}
+
+
+@pytest.mark.parametrize("limit", [ngram_join.COMPARED, 8])
+def test_ngram_join_recall_on_documents(spark, limit):
+    """Against all pairs of the 1000 documents of sf0.01: no pair at 0.8 or more is missed, also where buckets of over 8 are split."""
+    sf = SF.replace("0.001", "0.01")
+    want = brute_classes(spark, sf)
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in ngram_join.near_duplicates(spark.read.parquet(f"{sf}/documents.parquet"), limit=limit).collect()}
+    assert sum(n for _, n in want.values()) > 100 and got == want
+
+
+def test_sketches_lose_no_pair_at_the_threshold():
+    """20,000 pairs of sets of 60 to 2000 tokens, similar by 0.8 or hardly more: the sketch filter drops none of them."""
+    rng = np.random.default_rng(12)
+    for k in range(400):
+        n = int(rng.integers(60, 2000))
+        shared = -(-8 * n // 9)  # of n tokens each
+        rows = {"sketch": [], "tokens": [], "side": [0] * 100, "lo": [0], "hi": [0]}
+        for _ in range(50):
+            t = rng.integers(0, 2**64, 2 * n - shared, "uint64")
+            for half in (t[:n], t[n - shared :]):
+                half = np.unique(half)
+                rows["sketch"].append(ngram_join.sketch(half))
+                rows["tokens"].append(np.unique((half >> np.uint64(32)).astype("uint32")).tobytes())
+        found = set(ngram_join.similar_pairs(rows, Forest(100), 0.8))
+        assert found == {(2 * i, 2 * i + 1) for i in range(50)}, (k, n)
+
+
 # --- 8 exact dedup ---
 
 
@@ -386,7 +478,7 @@ def test_token_files_round_trip(spark):
     d = d.union(extra)
     folder, rows = token_files.write_token_files(d, BYTES, 2)
     got = token_files.read_token_files(folder, rows).collect()
-    lib = Encoder(BYTES).tokenizer
+    lib = library(BYTES)
     start = 0
     order = sorted(d.collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0))
     by_start = sorted(got, key=lambda r: r["start"])
@@ -404,10 +496,37 @@ def test_token_files_round_trip(spark):
 
 @pytest.mark.parametrize("path", [WORDS, BYTES])
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.text(st.sampled_from(list("ab'sé.,!1٣ \n\t\x1c\x01́İß<|>")), max_size=25), min_size=1, max_size=4))
+@given(st.lists(st.lists(st.sampled_from([*"ab'sé.,!1٣ \n\t\r\x0b\x85\xa0\x1c\x01́İß<|>", "  ", "\n\n", " \n", "Name\tAge\tCity\n\n", "<|endoftext|>", "<|startoftext|>", "the", " The"]), max_size=25).map("".join), min_size=1, max_size=4))
 def test_encoder_equals_library(path, texts):
-    e = Encoder(path)
-    assert e.ids(texts) == [np.array(e.tokenizer.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in texts]
+    lib, e = library(path), encoder(path)
+    assert e.ids(texts) == [np.array(lib.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in texts]
+
+
+@pytest.mark.parametrize("path", [WORDS, BYTES])
+def test_encoder_on_random_mixes(path):
+    rng, lib, e = random.Random(9), library(path), Encoder(path)
+    bits = ["Name", "Age", "x1", "it's", "É", " ", " ", "\n", "\t", "\n\n", "  ", "<|endoftext|>", "\u3000", "."]
+    texts = ["".join(rng.choices(bits, k=rng.randint(0, 12))) for _ in range(12_000)]
+    assert e.ids(texts) == [np.array(x.ids, "<u2").tobytes() for x in lib.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_wide_ids(spark):
+    """Ids of 32 bits where asked for or needed; the reader sees the width from the files."""
+    assert (tokens.id_type(65_536), tokens.id_type(65_537)) == ("<u2", "<u4")
+    d = docs(spark, "some words", None, "<|endoftext|> more")
+    narrow, wide = (token_files.read_token_files(*token_files.write_token_files(d, BYTES, 2, dtype=t)) for t in (None, "<u4"))
+    assert sorted(narrow.collect()) == sorted(wide.collect())
+
+
+def test_reader_takes_its_part_of_a_file(spark, tmp_path):
+    d = docs(spark, *[f"text {i} " * (i % 7) for i in range(50)]).coalesce(1)
+    folder, rows = token_files.write_token_files(d, BYTES, 2, folder=f"file://{tmp_path}/ids")
+    k = rows.first()["file"]
+    n = rows.where(F.col("file") == k).count()
+    ids, starts = token_files.open_ids(folder, k)
+    assert len(starts) == n + 1 and len(ids) == starts[-1]
+    some, at = token_files.open_ids(folder, k, 1, n - 1)
+    assert (some == ids[starts[1] :]).all() and (at == starts[1:] - starts[1]).all()
 
 
 # --- 10 chat ---
@@ -458,11 +577,36 @@ def test_chat_repair(spark):
         whole[parts] = {c: "".join(r["rendered"] for r in turns) for c, turns in convs.items()}
     assert whole["1"] == whole["7"] and len(got) == len(rows)
     one = spark.createDataFrame([(1, 1, "user", "a"), (1, 2, "user", "b")], "conv_id bigint, turn bigint, role string, text string")
-    text = "".join(r["rendered"] for r in cf.render(cf.repair(one, cf.Costs(relabel=9.0))).orderBy("place").collect()) + "<|end|>\n"
+    text = "".join(r["rendered"] for r in cf.render(cf.repair(one, cf.Costs(relabel=9.0))).orderBy("place").collect())
     assert text == "<|user|>\na\n\nb<|end|>\n<|assistant|>\n<|end|>\n"
     assert cf.render(cf.repair(one.limit(0))).count() == 0
 
 
+def test_many_conversations_in_one_task_take_linear_time():
+    n = 40_000
+    rows = {"conv_id": [i // 2 for i in range(2 * n)], "role": ["user", "assistant"] * n, "place": list(range(2 * n)), "enter": [cf.START] * 2 * n, "goes_on": [False] * 2 * n, "leave": [cf.closing(cf.Costs()).tolist()] * 2 * n}
+    began = time.process_time()
+    got = cf._decide(rows, cf.Costs())
+    assert time.process_time() - began < 12 and got.num_rows == 2 * n and got.column("opens").to_pylist() == got.column("closes").to_pylist()[::-1]
+
+
+def test_a_conversation_over_all_tasks(spark):
+    """One conversation of 20,000 turns with ties, cut into many stretches, equals the whole in one task."""
+    rng = random.Random(6)
+    rows = [(1, t // 2, rng.choice(["user", "assistant", "system", None]), rng.choice(["a", "b"])) for t in range(20_000)]
+    d = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = []
+        for parts in ("1", "9"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            out.append("".join(r["rendered"] for r in cf.render(cf.repair(d)).orderBy("place").collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert out[0] == out[1] and out[0].endswith("<|end|>\n")
+
+
 # --- the pipeline ---
 
 
