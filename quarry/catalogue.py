@@ -206,12 +206,12 @@ def lookup_batch_ids(spark, sf):
     return lookup.lookup_batch(index, keys).where(F.size("ids") > 0).select("pos", "key", F.array_join("ids", ",").alias("ids"))
 
 
-@query("SELECT pos, key, list_sort(list(CAST(s_suppkey AS VARCHAR)) FILTER (s_suppkey IS NOT NULL)) IS NOT NULL AS found FROM (SELECT p_partkey AS pos, (SELECT min(s_name) FROM supplier WHERE s_suppkey = p_partkey % 150) AS key FROM part) LEFT JOIN supplier ON s_name = key GROUP BY pos, key")
+@query("SELECT pos, key, coalesce(array_to_string(list_sort(list(CAST(s_suppkey AS VARCHAR)) FILTER (s_suppkey IS NOT NULL)), ','), '') AS ids FROM (SELECT p_partkey AS pos, (SELECT min(s_name) FROM supplier WHERE s_suppkey = p_partkey % 150) AS key FROM part) LEFT JOIN supplier ON s_name = key GROUP BY pos, key")
 def lookup_batch(spark, sf):
     s = t(spark, sf, "supplier")
     keys = t(spark, sf, "part").select(F.col("p_partkey").alias("pos"), (F.col("p_partkey") % 150).alias("k")).join(s.select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("key")), "k", "left").select("pos", "key")
     found = lookup.lookup_batch(lookup.key_index(s, "supplier", "s_suppkey", "s_name"), keys)
-    return found.select("pos", "key", (F.size("ids") > 0).alias("found"))
+    return found.select("pos", "key", F.array_join("ids", ",").alias("ids"))
 
 
 @query("SELECT p_partkey AS pos, p_size AS id, n_name FROM part LEFT JOIN nation ON n_nationkey = p_size")
@@ -349,7 +349,7 @@ def tier_sizes(spark, sf):
     return vector.with_tier(t(spark, sf, "embeddings"), F.timestamp_add("DAY", -(F.col("vec_id") % 60).cast("int"), as_of), as_of).groupBy("tier").agg(F.count("*").alias("n"))
 
 
-@query("SELECT a.vec_id AS id, round(sum(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[])), 4) AS total FROM embeddings a, embeddings b WHERE (SELECT count(*) FROM embeddings) <= 1000 GROUP BY 1 ORDER BY total, id LIMIT 1")
+@query("SELECT a.vec_id AS id, round(sum(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[])), 4) AS total FROM embeddings a, embeddings b GROUP BY 1 ORDER BY total, id LIMIT 1")
 def vector_medoid(spark, sf):
     return vector.medoid(t(spark, sf, "embeddings"), "vec_id").withColumn("total", r(F.col("total"), 4))
 
@@ -360,11 +360,13 @@ def vector_quantised(spark, sf):
     return _distances(vector.quantised_top_k(e, q, 5, "vec_id"))
 
 
-@query()
+@query(f"""WITH c AS (SELECT vec_id AS id, list_distance(embedding::DOUBLE[], {_Q}) AS d, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id > 0),
+k AS (SELECT list_reduce(list([{{'id': id, 'd': d, 'v': v}}] ORDER BY d, id), lambda a, x: CASE WHEN len(a) < 64 AND len(list_filter(a, lambda s: x[1].d >= 1.2::DOUBLE * list_distance(x[1].v, s.v))) = 0 THEN list_concat(a, x) ELSE a END) AS l FROM c)
+SELECT 0::BIGINT AS query_id, x.id, round(x.d, 4) AS distance FROM (SELECT unnest(l) AS x FROM k)""")
 def vector_prune(spark, sf):
     e, q = _vectors(spark, sf)
     near = vector.with_distance(e, q, "l2").where("vec_id > 0").select(F.lit(0).cast("long").alias("query_id"), F.col("vec_id").alias("id"), "distance", "embedding")
-    return vector.robust_prune(near)
+    return vector.robust_prune(near).withColumn("distance", r(F.col("distance"), 4))
 
 
 @query("SELECT count(*) AS rows, 0::BIGINT AS missing, 0::BIGINT AS wrong_dimension, 0::BIGINT AS zero_norm FROM embeddings")
@@ -444,7 +446,11 @@ def shortest_path(spark, sf):
     return graph.shortest_path(_edges(spark, sf), "s1", "s4", 5, "both")
 
 
-@query()
+@query(f"""WITH RECURSIVE e AS {_EDGES}, st AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e), adj AS (SELECT a, list(b ORDER BY b) AS nb FROM st GROUP BY a),
+w AS (SELECT 0 AS i, [{{'n': 's1', 'd': 0}}] AS stack, CAST([] AS VARCHAR[]) AS seen UNION ALL
+SELECT i + 1, CASE WHEN list_contains(seen, stack[1].n) OR stack[1].d >= 3 THEN stack[2:] ELSE list_concat(list_transform(list_filter(nb, lambda x: NOT list_contains(seen, x) AND x <> stack[1].n), lambda x: {{'n': x, 'd': stack[1].d + 1}}), stack[2:]) END,
+CASE WHEN list_contains(seen, stack[1].n) THEN seen ELSE list_append(seen, stack[1].n) END FROM w LEFT JOIN adj ON a = stack[1].n WHERE len(stack) > 0)
+SELECT CAST(unnest(range(0, len(seen))) AS BIGINT) AS pos, unnest(seen) AS node FROM w WHERE len(stack) = 0""")
 def dfs_order(spark, sf):
     nodes = graph.dfs(_edges(spark, sf), "s1", 3, "both")
     return spark.createDataFrame(list(enumerate(nodes)), "pos int, node string")
@@ -498,18 +504,23 @@ def fixed_char_chunks(spark, sf):
     return chunk.fixed_chunks(t(spark, sf, "documents"), 500, 50, "doc_id")
 
 
-@query("SELECT doc_id AS id, count(*) AS pieces, CAST(sum(len) AS BIGINT) AS chars FROM (SELECT doc_id, length(trim(unnest(string_split(text, chr(10))))) AS len FROM documents) WHERE len > 0 GROUP BY 1")
+@query("SELECT doc_id AS id, count(*) AS pieces, CAST(sum(length(p)) AS BIGINT) AS chars, md5(string_agg(p, chr(10) ORDER BY o)) AS digest FROM (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS p, unnest(range(0, len(string_split(text, chr(10))))) AS o FROM documents) WHERE p <> '' GROUP BY 1")
 def paragraph_pieces(spark, sf):
-    p = F.explode(chunk.paragraphs(F.col("text"), "\n"))
-    return t(spark, sf, "documents").select(F.col("doc_id").alias("id"), p.alias("p")).groupBy("id").agg(F.count("*").alias("pieces"), F.sum(F.length("p")).alias("chars"))
+    d = t(spark, sf, "documents").select(F.col("doc_id").alias("id"), chunk.paragraphs(F.col("text"), "\n").alias("p"))
+    return d.select("id", F.size("p").cast("long").alias("pieces"), F.aggregate("p", F.lit(0).cast("long"), lambda n, x: n + F.length(x)).alias("chars"), F.md5(F.array_join("p", "\n")).alias("digest"))
 
 
-@query()
+@query("""WITH p AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS p FROM documents),
+c AS (SELECT doc_id, list_reduce(list_transform(p, lambda x: [x]), lambda a, x: CASE WHEN strlen(a[-1]) + strlen(x[1]) + 1 <= 400 THEN list_append(a[:-2], a[-1] || chr(10) || x[1]) ELSE list_concat(a, x) END) AS c FROM p)
+SELECT doc_id AS id, CAST(unnest(range(0, len(c))) AS INT) AS ordinal, unnest(c) AS content FROM c""")
 def chunk_paragraphs(spark, sf):
     return chunk.paragraph_chunks(t(spark, sf, "documents"), 400, "\n", "doc_id")
 
 
-@query()
+@query("""WITH s AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?])\\s+([A-Z])', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS s FROM documents),
+p AS (SELECT doc_id, flatten(list_transform(s, lambda x: CASE WHEN length(x) / 4 > 200 THEN list_transform(range(0, length(x), 720), lambda i: substring(x, i + 1, 720)) ELSE [x] END)) AS p FROM s),
+c AS (SELECT doc_id, list_reduce(list_transform(p, lambda x: [x]), lambda a, x: CASE WHEN length(a[-1]) + length(x[1]) + 1 <= 800 THEN list_append(a[:-2], a[-1] || ' ' || x[1]) ELSE list_concat(a, x) END) AS c FROM p)
+SELECT doc_id AS id, CAST(o AS INT) AS ordinal, content, length(content) // 4 AS tokens FROM (SELECT doc_id, unnest(range(0, len(c))) AS o, unnest(c) AS content FROM c)""")
 def chunk_tokens(spark, sf):
     return chunk.token_chunks(t(spark, sf, "documents"), 200, "doc_id")
 
@@ -519,14 +530,14 @@ def token_estimate(spark, sf):
     return t(spark, sf, "documents").select("doc_id", S.estimate_tokens("text").alias("tokens"), S.chunk_budget(F.lit(100000)).alias("budget"))
 
 
-@query("SELECT conv_id, CAST((n - 1) // 3 AS INT) AS ordinal, count(*) AS n_records FROM (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) GROUP BY ALL")
+@query("SELECT conv_id, CAST((n - 1) // 3 AS INT) AS ordinal, count(*) AS n_records, CAST(to_json(list({'conv_id': conv_id, 'turn': turn, 'role': role, 'text': text} ORDER BY turn)) AS VARCHAR) AS content FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) GROUP BY conv_id, (n - 1) // 3")
 def record_chunks(spark, sf):
-    return chunk.record_chunks(t(spark, sf, "conversations"), "conv_id", "turn", 3).select("conv_id", "ordinal", "n_records")
+    return chunk.record_chunks(t(spark, sf, "conversations"), "conv_id", "turn", 3)
 
 
-@query("SELECT page_id, '| ' || CAST(page_id AS VARCHAR) || ' | ' || replace(replace(url, '|', '\\|'), chr(10), ' ') || ' | ' || replace(replace(substring(html, 1, 200), '|', '\\|'), chr(10), ' ') || ' |' AS row FROM pages")
+@query("SELECT page_id, '| ' || CAST(page_id AS VARCHAR) || ' | ' || replace(replace(url, '|', '\\|'), chr(10), ' ') || ' | ' || replace(replace(html, '|', '\\|'), chr(10), ' ') || ' |' AS row FROM pages")
 def html_markdown_cells(spark, sf):
-    return t(spark, sf, "pages").select("page_id", S.markdown_row("page_id", "url", F.substring("html", 1, 200)).alias("row"))
+    return t(spark, sf, "pages").select("page_id", S.markdown_row("page_id", "url", "html").alias("row"))
 
 
 @query("SELECT user_id, string_agg('[' || printf('%02d:%02d', CAST(s // 60 AS BIGINT), CAST(s % 60 AS BIGINT)) || ' → ' || printf('%02d:%02d', CAST((s + 5) // 60 AS BIGINT), CAST((s + 5) % 60 AS BIGINT)) || '] ' || event_type, chr(10) ORDER BY s, event_type) AS text FROM (SELECT user_id, event_type, event_id AS s FROM events) GROUP BY user_id")
@@ -713,9 +724,16 @@ def pivot_priorities(spark, sf):
     return p.select("o_orderstatus", F.coalesce("1-URGENT", F.lit(0)).cast("long").alias("urgent"), F.coalesce("5-LOW", F.lit(0)).cast("long").alias("low"))
 
 
-@query("SELECT * FROM (VALUES ('lookup', '[\"a\", \"b\"]'), ('traverse', '[\"s1\"]')) v(kind, keys)")
+@query("SELECT * FROM (VALUES ('lookup', '[\"a\", \"b\"]'), ('traverse', '[\"s1\"]'), ('key query', '[\"c\"]'), ('valid', '[true, false, true]'), ('table', '[\"a.t\", \"u\"]')) v(kind, keys)")
 def verb_plans(spark, sf):
     from quarry.plans import verbs
 
     a, b = verbs.parse("LOOKUP 'a', 'b'"), verbs.parse("TRAVERSE FROM s1 DEPTH 2 DIRECTION out")
-    return spark.createDataFrame([("lookup", json.dumps(list(a.keys))), ("traverse", json.dumps([b.start]))], "kind string, keys string")
+    c = verbs.parse("SELECT * FROM kv WHERE key = 'c'")
+    valid = [verbs.validate_sql(spark, q) for q in ("SELECT a FROM t", "SELECT (a FROM t", "WITH x AS (SELECT 1) SELECT * FROM x")]
+    names = [verbs.table_of(spark, q) for q in ("SELECT a, count(*) FROM a.t WHERE b > 2 GROUP BY a ORDER BY 1 LIMIT 3", "SELECT * FROM u JOIN v USING (id)")]
+    rows = [("lookup", list(a.keys)), ("traverse", [b.start]), ("key query", list(c.keys)), ("valid", valid), ("table", names)]
+    return spark.createDataFrame([(k, json.dumps(x)) for k, x in rows], "kind string, keys string")
+
+
+from quarry import catalogue_store  # noqa: E402, F401  registers the queries of the store

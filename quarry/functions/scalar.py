@@ -37,6 +37,13 @@ def key_value(columns: list[str], key_field: str | None = None) -> Column:
     return F.coalesce(*[F.col(c).cast("string") for c in order]) if order else F.lit(None).cast("string")
 
 
+def value_to_string(c: _C, kind) -> Column:
+    """Strings, numbers and truth values as they are; lists, structs and maps as JSON. kind: the column's type."""
+    from pyspark.sql import types as T
+
+    return F.to_json(col(c)) if isinstance(kind, (T.ArrayType, T.StructType, T.MapType)) else col(c).cast("string")
+
+
 def is_uuid(c: _C) -> Column:
     return F.coalesce(col(c).rlike("^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"), F.lit(False))
 
@@ -91,6 +98,18 @@ def semver(c: _C) -> Column:
     return F.when(ok, F.transform(F.split(col(c), r"\."), lambda x: x.cast("long")))
 
 
+def semver_compare(a: _C, b: _C) -> Column:
+    """-1, 0 or 1 by major, minor and patch; null where one isn't a version."""
+    x, y = semver(a), semver(b)
+    return F.when(x < y, -1).when(x > y, 1).when(x == y, 0)
+
+
+def calculate(operation: str, a: _C, b: _C) -> Column:
+    """add, subtract, multiply or divide; a division by zero is an error."""
+    x, y = col(a).cast("double"), col(b).cast("double")
+    return {"add": x + y, "subtract": x - y, "multiply": x * y, "divide": F.when(y == 0, F.raise_error(F.lit("division by zero"))).otherwise(F.try_divide(x, y))}[operation]
+
+
 def backoff_seconds(attempt: _C, limit: float = 60.0) -> Column:
     """Doubles with each attempt from one second on, up to the limit."""
     return F.least(F.lit(limit), F.pow(F.lit(2.0), F.greatest(col(attempt) - 1, F.lit(0))))

@@ -9,15 +9,24 @@ from quarry.functions.scalar import estimate_tokens
 
 
 def pack_pieces(pieces: Column, limit: int, joint: str, size=F.octet_length) -> Column:
-    """Pieces packed in order into chunks of at most `limit` (bytes); a longer piece is a chunk of its own."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
+    """Pieces packed in order into chunks of at most `limit` (bytes); a longer piece is a chunk of its own.
 
-    def step(acc, p):
-        fits = (acc["now"] == "") | (size(acc["now"]) + size(p) + len(joint) <= limit)
-        joined = F.when(acc["now"] == "", p).otherwise(F.concat(acc["now"], F.lit(joint), p))
-        return F.struct(F.when(fits, acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["now"]))).alias("done"), F.when(fits, joined).otherwise(p).alias("now"))
+    A fold over the pieces' sizes notes in a text of one character a piece which of them open a chunk. Then all pieces
+    are joined once, with a mark before those, and cut there: no piece is copied again and again as a chunk grows.
+    """
+    extra, mark, guard = len(joint.encode()), "\x01", "\x02"
 
-    return F.aggregate(pieces, start, step, lambda acc: F.concat(acc["done"], F.array(acc["now"])))
+    def step(acc, p):
+        n = size(p)
+        opens = (acc["held"] < 0) | (acc["held"] + n + extra > limit)
+        return F.struct(F.when(opens, n).otherwise(acc["held"] + n + extra).cast("long").alias("held"), F.concat(acc["opens"], F.when(opens, "1").otherwise("0")).alias("opens"))
+
+    start = F.struct(F.lit(-1).cast("long").alias("held"), F.lit("").alias("opens"))
+    flags = F.split(F.aggregate(pieces, start, step, lambda acc: acc["opens"]), "")
+    safe = lambda p: F.replace(F.replace(p, F.lit(guard), F.lit(guard + "b")), F.lit(mark), F.lit(guard + "a"))  # noqa: E731  a mark in the text itself
+    back = lambda p: F.replace(F.replace(p, F.lit(guard + "a"), F.lit(mark)), F.lit(guard + "b"), F.lit(guard))
+    joined = F.array_join(F.zip_with(pieces, flags, lambda p, f: F.concat(F.when(f == "1", mark).otherwise(joint), safe(p))), "")
+    return F.transform(F.split(F.when(F.size(pieces) == 0, "").otherwise(F.substring(joined, 2, 2**31 - 1)), mark), back)
 
 
 def paragraphs(text: Column, separator: str = "\n\n") -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -123,6 +126,18 @@ def extract_edges(rows: DataFrame, json_col: str, id_col: str = "id") -> DataFra
     return e.where(is_uuid("dst") & F.col("rel_type").isNotNull()).withColumn("properties", F.coalesce("properties", F.create_map().cast("map<string,string>")))
 
 
+def edges_from_texts(rows: DataFrame, provider: Callable[[str], list[tuple[str, str]]], id_col: str = "id", text_col: str = "content") -> DataFrame:
+    """src, dst, rel_type: the edges that a provider (a model, say) finds in each row's text, in Arrow batches."""
+    kind = rows.schema[id_col].dataType.simpleString()
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [(i, dst, rel) for i, text in zip(b["src"], b["text"]) for dst, rel in provider(text or "")]
+            yield pd.DataFrame(found, columns=["src", "dst", "rel_type"])
+
+    return rows.select(F.col(id_col).alias("src"), F.col(text_col).alias("text")).mapInPandas(find, f"src {kind}, dst string, rel_type string")
+
+
 def merge_edges(old: DataFrame, new: DataFrame) -> DataFrame:
     """Edges of both; the new one wins for the same (src, dst, rel_type). Nothing is deleted."""
     both = old.withColumn("_n", F.lit(0)).unionByName(new.withColumn("_n", F.lit(1)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.scalar import key_value
+from quarry.functions.scalar import is_uuid, key_value
 from quarry.operators.text import bm25
 
 
@@ -70,18 +70,19 @@ def prefix(index: DataFrame, text: str, limit: int) -> DataFrame:
 def fuzzy_cascade(index: DataFrame, query: str, limit: int = 10) -> DataFrame:
     """key_value, id, score and stage: exact (1.0), else prefix (0.8), else BM25 over the keys' tokens.
 
-    Only the first stage that finds anything answers; an empty query finds nothing.
+    Only the first stage that finds anything answers, and later ones aren't run; an empty query finds nothing.
     """
     out = ("key_value", "id")
     if not query.strip():
         return index.select(*out, F.lit(0.0).alias("score"), F.lit(0).alias("stage")).limit(0)
     exact = index.where(F.col("key_value") == query).select(*out, F.lit(1.0).alias("score"), F.lit(1).alias("stage"))
+    if not exact.isEmpty():
+        return exact.orderBy("key_value", "id").limit(limit)
     start = prefix(index, query, limit).select(*out, F.lit(0.8).alias("score"), F.lit(2).alias("stage"))
+    if not start.isEmpty():
+        return start.orderBy("key_value", "id")
     scored = bm25(index.select("id", F.col("key_value").alias("text"), "key_value"), query, keep=["key_value"])
-    fuzzy = scored.orderBy(F.desc("score"), "id").limit(limit).select(*out, "score", F.lit(3).alias("stage"))
-    found = exact.unionByName(start).unionByName(fuzzy)
-    best = found.agg(F.min("stage").alias("best"))
-    return found.join(F.broadcast(best), F.col("stage") == F.col("best")).drop("best").orderBy(F.desc("score"), "key_value", "id").limit(limit)
+    return scored.orderBy(F.desc("score"), "key_value", "id").limit(limit).select(*out, "score", F.lit(3).alias("stage"))
 
 
 def edit_search(index: DataFrame, query: str, threshold: float = 0.7, limit: int = 10) -> DataFrame:
@@ -94,6 +95,17 @@ def edit_search(index: DataFrame, query: str, threshold: float = 0.7, limit: int
     return index.where(shares).withColumn("similarity", similarity).where(F.col("similarity") >= threshold).orderBy(F.desc("similarity"), "key_value", "id").limit(limit)
 
 
+def resolve(entities: DataFrame, references: DataFrame, key: str, ref_col: str = "ref") -> DataFrame:
+    """references with found and the entity's id: "type:key" by key (the least id), a UUID by id, anything else not at all.
+    entities: id, entity_type and the key column."""
+    ref, by_id = F.col(ref_col), F.concat(F.lit("#"), F.lower(F.col(ref_col)))
+    aim = F.when(is_uuid(ref_col), by_id).when(ref.contains(":"), ref)
+    named = entities.select(F.concat_ws(":", "entity_type", F.col(key).cast("string")).alias("_aim"), F.col("id").cast("string").alias("entity_id"))
+    named = named.unionByName(entities.select(F.concat(F.lit("#"), F.lower(F.col("id").cast("string"))).alias("_aim"), F.col("id").cast("string").alias("entity_id")))
+    first = named.groupBy("_aim").agg(F.min("entity_id").alias("entity_id"))
+    return references.withColumn("_ref", aim).join(first, F.col("_ref") == F.col("_aim"), "left").drop("_ref", "_aim").withColumn("found", F.col("entity_id").isNotNull())
+
+
 def first_per_key(index: DataFrame) -> DataFrame:
     """Every key's first row."""
     w = Window.partitionBy("entity_type", "key_value").orderBy("id")

@@ -43,8 +43,9 @@ def bm25(docs: DataFrame, query: str, id_col: str = "id", text_col: str = "text"
     if not words:
         return docs.select(*cols, F.lit(0.0).alias("score")).limit(0)
     lower = F.lower(F.coalesce(F.col(text_col), F.lit("")))
-    runs = F.regexp_count(lower, F.lit(r"[\p{L}\p{N}]{2,}"))
-    counted = cut(docs.select(*cols, runs.alias("_dl"), *[_hits(lower, w).alias(f"_tf{i}") for i, w in enumerate(words)]), "term-counts")
+    runs = docs.select(*cols, F.regexp_extract_all(lower, F.lit(r"[\p{L}\p{N}]{2,}"), F.lit(0)).alias("_w"))
+    counts = [F.size(F.filter("_w", _is(w))).alias(f"_tf{i}") for i, w in enumerate(words)]
+    counted = cut(runs.select("id", *(keep or []), F.size("_w").alias("_dl"), *counts), "term-counts")
     totals = counted.agg(F.count("*").alias("_n"), F.avg("_dl").alias("_avg"), *[F.sum((F.col(f"_tf{i}") > 0).cast("long")).alias(f"_df{i}") for i in range(len(words))])
     score = F.lit(0.0)
     for i in range(len(words)):
@@ -56,9 +57,8 @@ def bm25(docs: DataFrame, query: str, id_col: str = "id", text_col: str = "text"
     return counted.where(hit).join(F.broadcast(totals)).select("id", *(keep or []), score.alias("score"))  # totals is one row
 
 
-def _hits(lower, word: str):
-    """How often a token stands in a lower-case text: a run of letters and digits, whole."""
-    return F.regexp_count(lower, F.lit(rf"(?<![\p{{L}}\p{{N}}]){word}(?![\p{{L}}\p{{N}}])"))
+def _is(word: str):
+    return lambda x: x == word
 
 
 def phrase_matches(docs: DataFrame, phrase: str, id_col: str = "id", text_col: str = "text") -> DataFrame:
@@ -67,3 +67,17 @@ def phrase_matches(docs: DataFrame, phrase: str, id_col: str = "id", text_col: s
     wanted = F.concat(F.lit("(?= "), F.array_join(tokens(F.lit(phrase)), " "), F.lit(" )"))  # tokens hold letters and digits only
     found = docs.select(F.col(id_col).alias("id"), F.regexp_count(joined, wanted).cast("long").alias("hits"))
     return found.where((F.col("hits") > 0) & (F.size(tokens(F.lit(phrase))) > 0))
+
+
+def bm25_fields(docs: DataFrame, query: str, boosts: dict[str, float], id_col: str = "id", idf: str = "plus1") -> DataFrame:
+    """id, score: the sum of the fields' BM25 scores, each times its boost."""
+    from functools import reduce
+
+    parts = [bm25(docs, query, id_col, f, idf=idf).withColumn("score", F.col("score") * w) for f, w in boosts.items()]
+    return reduce(DataFrame.unionByName, parts).groupBy("id").agg(F.sum("score").alias("score"))
+
+
+def positions(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """id, term, places: where each token of a text stands, counted from 0."""
+    t = docs.select(F.col(id_col).alias("id"), F.posexplode(tokens(text_col)).alias("place", "term"))
+    return t.groupBy("id", "term").agg(F.array_sort(F.collect_list("place")).alias("places"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.vectors import METRICS, as_vector
+from quarry.session import cut
 
 
 def with_distance(rows: DataFrame, query: list[float], metric: str = "cosine", vector_col: str = "embedding") -> DataFrame:
@@ -88,22 +89,39 @@ def medoid(rows: DataFrame, id_col: str = "id", vector_col: str = "embedding", s
 
 def robust_prune(candidates: DataFrame, query_col: str = "query_id", id_col: str = "id", vector_col: str = "embedding", alpha: float = 1.2, degree: int = 64, fetch: int = 256) -> DataFrame:
     """Per query, nearest first: a candidate stays if its distance to the query is less than alpha times that to each
-    one that stayed. Candidates (query_id, id, distance, embedding) are cut to the `fetch` nearest before."""
+    one that stayed, until `degree` have. candidates: query_id, id, distance, embedding.
+
+    A round looks at the next `fetch` candidates of each query together with those that stayed, which is all that a
+    task holds of a query. What is left and may still stay goes to the next round, until nothing is.
+    """
     import numpy as np
     import pandas as pd
     from pyspark.sql import Window
 
+    cols = [query_col, id_col, "distance", vector_col]
+    schema = ", ".join(f"{c} {candidates.schema[c].dataType.simpleString()}" for c in cols)
     w = Window.partitionBy(query_col).orderBy("distance", id_col)
-    near = candidates.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= fetch).drop("_n")
 
     def prune(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["distance", id_col])
-        vectors = np.stack(rows[vector_col].to_numpy())
-        kept: list[int] = []
-        for i, d in enumerate(rows["distance"]):
-            if len(kept) < degree and all(d < alpha * float(np.linalg.norm(vectors[i] - vectors[s])) for s in kept):
-                kept.append(i)
-        return rows.iloc[kept][[query_col, id_col, "distance"]]
-
-    q, i = candidates.schema[query_col].dataType.simpleString(), candidates.schema[id_col].dataType.simpleString()
-    return near.groupBy(query_col).applyInPandas(prune, f"{query_col} {q}, {id_col} {i}, distance double")
+        vectors = np.stack(rows[vector_col].to_numpy()).astype("float64")
+        chosen = list(np.flatnonzero(rows["_kept"].to_numpy()))
+        for i in np.flatnonzero(~rows["_kept"].to_numpy()):  # all farther than those that stayed before
+            if len(chosen) < degree and (not chosen or rows["distance"].iloc[i] < alpha * np.linalg.norm(vectors[chosen] - vectors[i], axis=1).min()):
+                chosen.append(i)
+        return rows.iloc[chosen][cols]
+
+    left, kept = candidates.select(*cols), candidates.select(*cols).limit(0)
+    while True:
+        numbered = left.withColumn("_n", F.row_number().over(w))
+        block = cut(numbered.where(F.col("_n") <= fetch).drop("_n").withColumn("_kept", F.lit(False)), "prune-block")
+        if block.isEmpty():
+            return kept.drop(vector_col)
+        old = kept.join(block.select(query_col).distinct(), query_col, "left_semi").withColumn("_kept", F.lit(True)).select(*cols, "_kept")
+        done = kept.join(block.select(query_col).distinct(), query_col, "left_anti")
+        kept = cut(done.unionByName(block.unionByName(old).groupBy(query_col).applyInPandas(prune, schema)), "prune-kept")
+        last = block.groupBy(query_col).agg(F.max(F.struct("distance", id_col)).alias("_last"))
+        full = kept.groupBy(query_col).agg(F.count("*").alias("_have"), F.collect_list(vector_col).alias("_own"))  # degree vectors at most
+        after = left.join(last, query_col).where(F.struct("distance", id_col) > F.col("_last")).join(full, query_col).where(F.col("_have") < degree)
+        may_stay = F.forall("_own", lambda v: F.col("distance") < alpha * METRICS["l2"](F.col(vector_col), v))
+        left = cut(after.where(may_stay).select(*cols), "prune-left")

@@ -8,6 +8,9 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+from pyspark.errors import ParseException
+from pyspark.sql import SparkSession
+
 from quarry.errors import QueryError
 from quarry.operators.graph import MAX_DEPTH
 
@@ -76,3 +79,29 @@ def parse(text: str) -> Lookup | Traverse | Search | Sql:
     if word in ("select", "with"):
         return Sql(t)
     raise QueryError(f"unknown query: {text!r}")
+
+
+def _plan(spark: SparkSession, text: str):
+    return spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
+
+
+def validate_sql(spark: SparkSession, text: str) -> bool:
+    """Whether Spark's parser takes the text; names aren't looked up."""
+    try:
+        _plan(spark, text)
+    except ParseException:
+        return False
+    return True
+
+
+def table_of(spark: SparkSession, text: str) -> str:
+    """The table that a query's first FROM names. Derived tables, set operations and queries without FROM have none."""
+    try:
+        node = _plan(spark, text)
+    except ParseException as e:
+        raise QueryError(f"not SQL: {text!r}") from e
+    while (kind := node.nodeName()) in ("Project", "Filter", "Sort", "Aggregate", "GlobalLimit", "LocalLimit", "Limit", "Offset", "Distinct", "UnresolvedHaving", "Join") or (kind == "SubqueryAlias" and node.children().head().nodeName() == "UnresolvedRelation"):
+        node = node.children().head()
+    if kind != "UnresolvedRelation":
+        raise QueryError("the query's FROM must name a table")
+    return node.tableName()

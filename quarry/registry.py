@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.errors import QuarryError, SchemaNotFound, ValidationFailed
 from quarry.model import BUILT_IN, struct_type
+from quarry.sources import files
 
 CATEGORIES = ("system", "agents", "public", "user")
 
@@ -94,11 +97,60 @@ class Registry:
         return spark.createDataFrame(rows, "name string, category string, version string, description string, key_field string")
 
     def violations(self, name: str, rows: DataFrame) -> DataFrame:
-        """rows with `problems`: the declared rules that each one breaks (required fields, enums)."""
+        """rows with `problems`: the declared rules that each one breaks (required fields, types, enums, ranges, lengths, patterns, formats)."""
         s = self.get(name)
         tests = [F.when(F.col(n).isNull() if n in rows.columns else F.lit(True), F.lit(f"{n} is required")) for n in s.get("required", [])]
         for n, p in s["properties"].items():
-            if "enum" in p and n in rows.columns:
-                tests.append(F.when(~F.col(n).isin(p["enum"]), F.lit(f"{n} is not one of its values")))
+            if n in rows.columns:
+                tests += [F.when(test, F.lit(f"{n} {what}")) for what, test in _breaks(F.col(n), rows.schema[n].dataType, p)]
         found = F.filter(F.array(*tests), lambda x: x.isNotNull()) if tests else F.array().cast("array<string>")
         return rows.withColumn("problems", found)
+
+    def load(self, spark: SparkSession, folder: str) -> None:
+        """Adds the schemas that save() left in a folder, each name's versions in their order."""
+        for f in files.names(spark, folder):
+            if f.endswith(".json"):
+                self.register(json.loads(files.read(spark, f"{folder}/{f}")))
+
+    def save(self, spark: SparkSession, folder: str, name: str) -> None:
+        """Writes a schema's current version; system schemas come with the package."""
+        s = self.get(name)
+        if self.category(s) != "system":
+            files.write(spark, f"{folder}/{name}-{len(self._versions[name]):06d}.json", json.dumps(s))
+
+
+#: Formats of JSON Schema and the patterns that they stand for here.
+FORMATS = {
+    "date": r"^\d{4}-\d{2}-\d{2}$", "date-time": r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})?$", "email": r"^[^@\s]+@[^@\s]+\.[^@\s]+$",
+    "uri": r"^[A-Za-z][A-Za-z0-9+.-]*:\S+$", "uuid": r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
+}
+_KINDS = {"string": (T.StringType, T.TimestampType, T.TimestampNTZType, T.DateType), "integer": (T.IntegralType,), "number": (T.NumericType,), "boolean": (T.BooleanType,), "array": (T.ArrayType,), "object": (T.StructType, T.MapType)}
+
+
+def _breaks(c, kind: T.DataType, rule: dict) -> list[tuple]:
+    """(what is wrong, test) for one field; a null breaks none of these."""
+    out = []
+    wanted = rule.get("type")
+    wanted = [w for w in (wanted if isinstance(wanted, list) else [wanted]) if w and w != "null"]
+    if wanted and not isinstance(kind, T.NullType) and not any(isinstance(kind, _KINDS[w]) for w in wanted if w in _KINDS):
+        casts = {"integer": c.cast("string").rlike(r"^[+-]?\d+$"), "number": c.try_cast("double").isNotNull(), "boolean": c.try_cast("boolean").isNotNull()}
+        fits = [casts[w] for w in wanted if w in casts and isinstance(kind, (T.StringType, T.NumericType))]
+        ok = F.lit(False)
+        for f in fits:
+            ok = ok | f
+        out.append((f"is not of type {' or '.join(wanted)}", c.isNotNull() & ~ok))
+    if "enum" in rule:
+        out.append(("is not one of its values", ~c.isin(rule["enum"])))
+    number = c.try_cast("double") if not isinstance(kind, (T.ArrayType, T.StructType, T.MapType)) else F.lit(None).cast("double")
+    for name, test in (("minimum", lambda x: number < x), ("maximum", lambda x: number > x), ("exclusiveMinimum", lambda x: number <= x), ("exclusiveMaximum", lambda x: number >= x)):
+        if name in rule:
+            out.append((f"is out of range: {name} {rule[name]}", test(rule[name])))
+    if isinstance(kind, T.StringType):
+        for name, test in (("minLength", lambda x: F.length(c) < x), ("maxLength", lambda x: F.length(c) > x), ("pattern", lambda x: ~c.rlike(x)), ("format", lambda x: ~c.rlike(FORMATS[x]) if x in FORMATS else F.lit(False))):
+            if name in rule:
+                out.append((f"breaks {name} {rule[name]}", test(rule[name])))
+    if isinstance(kind, T.ArrayType):
+        for name, test in (("minItems", lambda x: F.size(c) < x), ("maxItems", lambda x: F.size(c) > x)):
+            if name in rule:
+                out.append((f"breaks {name} {rule[name]}", c.isNotNull() & test(rule[name])))
+    return out

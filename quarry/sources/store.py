@@ -1,15 +1,20 @@
-"""Entity tables as immutable snapshots, with upserts, tombstones and a change log.
+"""Entity tables as immutable versions, with upserts, tombstones and a change log.
 
-merge functions take and return DataFrames; Store keeps a snapshot folder per commit and a pointer
-table that says which one is current. A reader keeps the snapshot that it opened.
+merge functions take and return DataFrames; Store keeps the versions of tables. A reader keeps the version that it opened.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from quarry.errors import QuarryError
+from quarry.sources import files
 
 
 def latest(changes: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -110,40 +115,114 @@ def numbered_changes(changes: DataFrame, start: int, order: list[str]) -> DataFr
     return rows.join(F.broadcast(changes.sparkSession.createDataFrame(bases, "_p int, _b bigint")), "_p").withColumn("seq", F.col("_b") + n).drop("_p", "_b")
 
 
+class CommitConflict(QuarryError):
+    """Another writer has committed in between."""
+
+    recoverable = True
+
+
 class Store:
-    """Tables in a folder: snapshots under data/, and one pointer row per commit under commits/."""
+    """Tables in a folder. A version is a manifest: for each bucket of keys, the folder that holds its rows.
+
+    A change rewrites the buckets that it touches and points to the others. A manifest is created
+    exclusively, so of two writers of one version one wins and the other one starts again from what it finds.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 32):
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def _where(self, table: str, version: int) -> str:
+        return f"{self.path}/commits/{table}/{version:012d}.json"
 
-    def _commits(self, table: str) -> DataFrame | None:
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/commits/{table}")
-        fs = where.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return self.spark.read.schema("version bigint, folder string").parquet(str(where)) if fs.exists(where) else None
+    def versions(self, table: str) -> list[int]:
+        return [int(n[:-5]) for n in files.names(self.spark, f"{self.path}/commits/{table}") if n.endswith(".json")]
 
     def version(self, table: str) -> int:
-        c = self._commits(table)
-        return 0 if c is None else c.agg(F.max("version")).first()[0] or 0
+        return max(self.versions(table), default=0)
 
-    def read(self, table: str, version: int | None = None) -> DataFrame:
-        """The current snapshot, or an earlier one."""
-        c = self._commits(table)
-        if c is None:
+    def manifest(self, table: str, version: int | None = None) -> dict:
+        version = version or self.version(table)
+        if not version:
             raise FileNotFoundError(table)
-        row = c.where(F.lit(version).isNull() | (F.col("version") == F.lit(version))).orderBy(F.desc("version")).first()
-        return self.spark.read.parquet(row["folder"])
+        return json.loads(files.read(self.spark, self._where(table, version)))
+
+    def _rows(self, m: dict, only: list[int] | None = None) -> DataFrame:
+        paths = [p for b, p in m["buckets"].items() if only is None or int(b) in only]
+        schema = T.StructType.fromJson(m["schema"])
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
-    def commit(self, table: str, rows: DataFrame) -> int:
-        """Writes a snapshot beside the one that rows may come from, then its pointer."""
+    def read(self, table: str, version: int | None = None) -> DataFrame:
+        """The current rows, or those of an earlier version."""
+        return self._rows(self.manifest(table, version))
+
+    def _write(self, table: str, version: int, rows: DataFrame, keys: list[str], n: int, sort: list[str]) -> dict[str, str]:
+        """Writes rows by bucket; the folders of the buckets that have any. Files are sorted by `sort`, so a scan can skip most
+        of their row groups, and have Bloom filters of it."""
+        folder = f"{self.path}/data/{table}/{version:08d}-{uuid.uuid4().hex[:8]}"
+        dealt = rows.withColumn("_bucket", _bucket(keys, n) if keys else F.lit(0)).repartition("_bucket", *keys)
+        out = dealt.sortWithinPartitions("_bucket", *sort).write.partitionBy("_bucket")
+        for c in sort:
+            out = out.option(f"parquet.bloom.filter.enabled#{c}", "true")
+        out.parquet(folder)
+        return {x.split("=")[1]: f"{folder}/{x}" for x in files.names(self.spark, folder) if x.startswith("_bucket=")}
+
+    def commit(self, table: str, rows: DataFrame, keys: Sequence[str] = ("tenant_id", "id"), sort: Sequence[str] = ()) -> int:
+        """Makes rows the table's next version, whole."""
         v = self.version(table) + 1
-        folder = f"{self.path}/data/{table}/{v:08d}-{uuid.uuid4().hex[:8]}"
-        rows.write.parquet(folder)
-        self.spark.createDataFrame([(v, folder)], "version bigint, folder string").coalesce(1).write.mode("append").parquet(f"{self.path}/commits/{table}")
+        own = [k for k in keys if k in rows.columns]
+        n = self.buckets if own else 1
+        m = {"keys": own, "n": n, "sort": list(sort), "schema": rows.schema.jsonValue(), "buckets": self._write(table, v, rows, own, n, list(sort))}
+        if not files.claim(self.spark, self._where(table, v), json.dumps(m)):
+            raise CommitConflict(f"version {v} of {table} is taken")
         return v
 
+    def change(self, table: str, touched: DataFrame, make: Callable[[DataFrame], DataFrame], tries: int = 10) -> int:
+        """Commits make(rows) for the buckets of the keys in `touched`; the others stay as they are. Where another writer was
+        faster, it is made again from that one's rows."""
+        for _ in range(tries):
+            v = self.version(table)
+            m = self.manifest(table, v)
+            if not m["keys"]:
+                only = [0]
+            else:
+                only = [r[0] for r in touched.select(_bucket(m["keys"], m["n"]).alias("b")).distinct().collect()]  # n numbers at most
+            new = make(self._rows(m, only))
+            made = self._write(table, v + 1, new, m["keys"], m["n"], m["sort"])
+            m["buckets"] = {b: p for b, p in m["buckets"].items() if int(b) not in only} | made
+            m["schema"] = new.schema.jsonValue()
+            if files.claim(self.spark, self._where(table, v + 1), json.dumps(m)):
+                return v + 1
+        raise CommitConflict(f"{table} was changed by others {tries} times")
+
     def restore(self, table: str, version: int) -> int:
-        return self.commit(table, self.read(table, version))
+        """Makes an earlier version the current one; its files are used again."""
+        v = self.version(table) + 1
+        if not files.claim(self.spark, self._where(table, v), json.dumps(self.manifest(table, version))):
+            raise CommitConflict(f"version {v} of {table} is taken")
+        return v
 
     def backup(self, table: str, target: str) -> int:
-        """Commits the current snapshot to a store in another folder; returns its version there."""
-        return Store(self.spark, target).commit(table, self.read(table))
+        """Commits the current rows to a store in another folder; returns the version there."""
+        m = self.manifest(table)
+        return Store(self.spark, target, self.buckets).commit(table, self.read(table), m["keys"], m["sort"])
+
+    def tables(self) -> list[str]:
+        return files.names(self.spark, f"{self.path}/commits")
+
+    def backups(self) -> DataFrame:
+        """table_name, version of what this folder holds."""
+        rows = [(t, v) for t in self.tables() for v in self.versions(t)]
+        return self.spark.createDataFrame(rows, "table_name string, version int")
+
+    def forget(self, table: str, version: int) -> bool:
+        """Deletes a version that isn't the current one, and the bucket folders that no other version uses."""
+        if version == self.version(table):
+            raise QuarryError(f"version {version} of {table} is the current one")
+        gone = set(self.manifest(table, version)["buckets"].values())
+        files.delete(self.spark, self._where(table, version))
+        used = {p for v in self.versions(table) for p in self.manifest(table, v)["buckets"].values()}
+        return all([files.delete(self.spark, p) for p in gone - used])
+
+
+def _bucket(keys: list[str], n: int):
+    return F.pmod(F.xxhash64(*[F.col(k).cast("string") for k in keys]), F.lit(n)).cast("int")

@@ -21,7 +21,7 @@ def follow(changes: DataFrame, store: Store, table: str, keys: list[str], checkp
 
     def apply(batch: DataFrame, _: int) -> None:
         if not batch.isEmpty():
-            store.commit(table, apply_changes(store.read(table), batch, keys))
+            store.change(table, batch.select(*keys), lambda rows: apply_changes(rows, batch, keys))
 
     return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
@@ -73,3 +73,31 @@ class ReplicaState:
         self.state = TRANSITIONS.get((self.state, event), "disconnected" if event == "disconnect" else self.state)
         self.failures = 0 if self.state == "synced" else self.failures + (event == "failed")
         return self.state
+
+
+def join_streams(left: DataFrame, right: DataFrame, key: str, within: str, ts: str = "ts") -> DataFrame:
+    """Rows of two streams (each with a watermark on ts) with the same key, the right one at most `within` after the left one; Spark
+    drops what can't meet any more. Columns of the right stream get the prefix right_."""
+    r = right.select(*[F.col(c).alias(f"right_{c}") for c in right.columns])
+    close = (F.col(f"right_{ts}") >= F.col(ts)) & (F.col(f"right_{ts}") <= F.col(ts) + F.expr(f"INTERVAL {within}"))
+    return left.join(r, (F.col(key) == F.col(f"right_{key}")) & close)
+
+
+def running_totals(events: DataFrame, by: str = "user_id", value: str = "value") -> DataFrame:
+    """A stateful operator: for each key that a micro-batch has, its number of events and total since the stream began."""
+    from collections.abc import Iterator
+
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    kind = events.schema[by].dataType.simpleString()
+
+    def add(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n, total = state.get if state.exists else (0, 0.0)
+        for rows in batches:
+            n, total = n + len(rows), total + float(rows[value].sum())
+        state.update((n, total))
+        yield pd.DataFrame({by: [key[0]], "n": [n], "total": [total]})
+
+    grouped = events.select(by, value).groupBy(by)
+    return grouped.applyInPandasWithState(add, f"{by} {kind}, n bigint, total double", "n bigint, total double", "update", GroupStateTimeout.NoTimeout)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from decimal import Decimal
 
 import duckdb
 
@@ -20,6 +21,8 @@ def connect(sf: str) -> duckdb.DuckDBPyConnection:
 def _plain(x):
     if x is None or x != x:
         return ""
+    if isinstance(x, Decimal):
+        x = float(x)
     if isinstance(x, float):
         return f"{x + 0.0:.8g}" if not math.isinf(x) else str(x)
     if isinstance(x, int) and not isinstance(x, bool):
