@@ -24,11 +24,11 @@ def eq_ci(a: _C, b: Column) -> Column:
 
 
 def entity_uuid(entity_type: _C, value: _C, ordinal: _C | None = None) -> Column:
-    """A stable id of "type:value[:ordinal]": the MD5 digits with the version and variant of a name-based UUID."""
+    """A stable id of "type:value[:ordinal]": the MD5 digits with the version and variant of a name-based UUID; null without a value."""
     parts = [col(entity_type), col(value).cast("string"), *([] if ordinal is None else [col(ordinal).cast("string")])]
     h = F.md5(F.concat_ws(":", *parts))
     variant = F.substring(F.lit("89ab"), (F.conv(F.substring(h, 17, 1), 16, 10).cast("int") % 4) + 1, F.lit(1))
-    return F.concat(F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-5"), F.substring(h, 14, 3), F.lit("-"), variant, F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12))
+    return F.when(col(value).isNotNull(), F.concat(F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-5"), F.substring(h, 14, 3), F.lit("-"), variant, F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12)))
 
 
 def key_value(columns: list[str], key_field: str | None = None) -> Column:

@@ -163,6 +163,22 @@ class Engine:
             raise QueryError("a score must be 0 to 1")
         return self.insert("feedback", rows)
 
+    def add_edges(self, edges: DataFrame) -> int:
+        """Puts edges (src, dst, rel_type, properties) into the table edges; one with the same ends and type is replaced."""
+        kinds = {"src": "string", "dst": "string", "rel_type": "string", "properties": "map<string,string>"}
+        new = edges.select(*[F.col(c).cast(k).alias(c) if c in edges.columns else F.lit(None).cast(k).alias(c) for c, k in kinds.items()])
+        keys = ["src", "dst", "rel_type"]
+        if self.store.version("edges") == 0:
+            return self.store.commit("edges", graph.merge_edges(new.limit(0), new), keys)
+        return self.store.change("edges", new.select(*keys), lambda old: graph.merge_edges(old, new))
+
+    def edges_of(self, node: str, direction: str = "both") -> DataFrame:
+        return graph.neighbours(self.store.read("edges"), node, direction)
+
+    def delete_edges(self, edges: DataFrame) -> int:
+        """edges: src, dst, rel_type."""
+        return self.store.change("edges", edges, lambda old: graph.remove_edges(old, edges))
+
     def traverse(self, start: str, depth: int, direction: str = "out", rel_type: str | None = None, edges: DataFrame | None = None) -> DataFrame:
         return graph.bfs(self.store.read("edges") if edges is None else edges, [start], depth, direction, rel_type)
 

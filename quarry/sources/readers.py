@@ -19,9 +19,13 @@ from quarry.operators.chunk import paragraph_chunks
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
     """(good rows, bad lines): a line that isn't a record of the schema is kept apart; blank lines are skipped."""
+    return parse_jsonl(spark.read.text(path), schema)
+
+
+def parse_jsonl(lines: DataFrame, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """The same of lines (value)."""
     full = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
-    rows = spark.read.text(path).where(F.trim("value") != "")
-    parsed = rows.select("value", F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("r"))
+    parsed = lines.where(F.trim("value") != "").select("value", F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("r"))
     return parsed.where("r._corrupt IS NULL").select(*[F.col(f"r.{f.name}") for f in schema.fields]), parsed.where("r._corrupt IS NOT NULL").select(F.col("value").alias("line"))
 
 

@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 import json
+import os
+import subprocess
+import sys
+import threading
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry import errors, model
 from quarry.functions import scalar as S
-from quarry.operators import aggregates, chunk, graph, lookup, moments, sessions
+from quarry.operators import aggregates, chunk, graph, lookup, moments, sessions, vector
 from quarry.operators import predicates as P
 from quarry.plans import query_plan, verbs
 from quarry.plans.engine import Engine
@@ -97,9 +103,9 @@ def test_verbs():
 
 
 def test_plans(spark, people):
-    for q in ("111213", "ABS-234", "user_123", "bob", "TAP-1234"):
+    for q in ("271828", "ZX-77", "node_5", "carol", "é-9_"):
         assert query_plan.is_identifier(q)
-    for q in ("who is bob", "", "a b", "-x"):
+    for q in ("where is carol", "", "x y", "_5", "a" * 51):
         assert not query_plan.is_identifier(q)
     made = query_plan.plan("who is old", lambda q: "```json\n" + json.dumps({"kind": "sql", "query": "one", "confidence": 0.9, "fallbacks": [{"kind": "sql", "query": "two"}]}) + "\n```")
     got, stages = query_plan.run_staged(made, lambda q: people.where(F.lit(q == "two")))
@@ -225,8 +231,164 @@ def test_merges_backup_and_shell(spark, people, tmp_path, capsys):
     assert json.loads(out[0]) == {"version": 1, "bad_lines": 1} and out[1] == "4" and json.loads(out[2])["key_value"] == "Bob"
     s = store.Store(spark, f"file://{tmp_path}/db")
     assert s.backup("person", f"file://{tmp_path}/copy") == 1 and s.restore("person", 1) == 2
+    main([base[0], "insert", "person", json.dumps({"name": "Eve", "age": 1})])
+    eve = store.Store(spark, base[0]).read("person").where("name = 'Eve'").first()["id"]
+    main([base[0], "update", "person", eve, json.dumps({"role": "ops"})])
+    main([base[0], "add-edge", "a", "b", "knows"])
+    main([base[0], "get-edges", "b"])
+    main([base[0], "traverse", "a", "2", "out"])
+    main([base[0], "delete-edge", "a", "b", "knows"])
+    main([base[0], "delete", "person", eve])
+    main([base[0], "get", "person", eve])
+    main([base[0], "schema", "person"])
+    out = [json.loads(x) for x in capsys.readouterr().out.splitlines()]
+    assert out[0] == {"version": 3, "bad_lines": 0} and out[3]["neighbour"] == "a" and [x["node"] for x in out[4:6]] == ["a", "b"]
+    assert out[-2]["role"] == "ops" and "deleted_at" in out[-2] and out[-1]["title"] == "Person"
     e = Engine(spark, f"file://{tmp_path}/db")
     assert e.similar_schemas("Built-in table feedback", 1).first()["name"] == "feedback"
     kind = "array<struct<dst:string,rel_type:string>>"
     df = spark.createDataFrame([([("a", "k"), ("b", "j")],)], f"e {kind}")
     assert df.select(F.size(graph.inline_of_type("e", "k")), F.size(graph.without_inline("e", "a", "k"))).first() == (1, 1)
+
+
+def test_a_change_rewrites_only_its_buckets(spark, tmp_path):
+    s = store.Store(spark, f"file://{tmp_path}", buckets=8)
+    s.commit("t", spark.range(200).withColumn("v", F.lit(0)), ["id"])
+    one = spark.createDataFrame([(7,)], "id bigint")
+    before = s.manifest("t")["buckets"]
+    s.change("t", one, lambda old: old.withColumn("v", F.when(F.col("id") == 7, 1).otherwise(F.col("v"))))
+    after = s.manifest("t")["buckets"]
+    assert len(before) == 8 and sum(before[b] != after[b] for b in before) == 1
+    assert s.read("t").agg(F.sum("v"), F.count("*")).first() == (1, 200) and s.read("t", 1).agg(F.sum("v")).first()[0] == 0
+    s.change("t", s.read("t"), lambda old: old.where("id < 0"))
+    assert s.read("t").count() == 0 and s.version("t") == 3
+    assert s.restore("t", 2) == 4 and s.read("t").count() == 200
+    assert s.forget("t", 2) and s.read("t").count() == 200  # its folders are still in use
+    with pytest.raises(errors.QuarryError):
+        s.forget("t", 4)
+
+
+def test_two_writers_lose_nothing(spark, tmp_path):
+    """Each of two writers adds 1 to every row five times over, at the same time: the one that comes second makes its change again."""
+    path = f"file://{tmp_path}"
+    store.Store(spark, path, 2).commit("t", spark.range(20).withColumn("v", F.lit(0)), ["id"])
+    failed = []
+
+    def write():
+        s = store.Store(spark, path, 2)
+        for _ in range(5):
+            try:
+                s.change("t", spark.range(20), lambda old: old.withColumn("v", F.col("v") + 1), tries=50)
+            except Exception as e:
+                failed.append(e)
+
+    threads = [threading.Thread(target=write) for _ in range(2)]
+    for x in threads:
+        x.start()
+    for x in threads:
+        x.join()
+    s = store.Store(spark, path, 2)
+    assert not failed and s.version("t") == 11 and {r["v"] for r in s.read("t").collect()} == {10}
+    stale = store.Store(spark, path, 2)
+    stale.version = lambda table: 10  # what a writer saw before the other one committed
+    with pytest.raises(store.CommitConflict):
+        stale.commit("t", s.read("t"), ["id"])
+
+
+def test_engine_keeps_schemas_and_embeddings(spark, people, tmp_path):
+    calls = []
+
+    def provider(texts):
+        calls.append(len(texts))
+        return np.array([[float("engineer" in x), float("ops" in x), 1.0] for x in texts], "float32")
+
+    e = Engine(spark, f"file://{tmp_path}", provider=provider)
+    e.register_schema({**PERSON, "indexed_fields": ["role"]})
+    e.insert("person", people)
+    e = Engine(spark, f"file://{tmp_path}", provider=provider)
+    assert e.registry.has("person") and e.store.read("person").where("size(embedding) = 3").count() == 4
+    calls.clear()
+    assert e.search("person", "ops", 1).count() == 1 and calls == [1]  # only the question is embedded
+    dan = e.list("person").where("name = 'Diana'").select("id")
+    e.update("person", dan.withColumn("role", F.lit("ops")))
+    assert e.search("person", "ops", 1).first()["name"] == "Diana" and names(e.find("person", "role", "engineer")) == ["Alice", "Charlie"]
+    with pytest.raises(errors.QueryError):
+        e.find("person", "age", 1)
+    assert e.search_result("nothing", "x")["error"] and e.search_result("person", "ops", 2)["total"] == 2
+    assert e.discover("x") == ["person"] and e.discover("x", "documents") == ["documents"] and len(e.discover("table feedback", few=0)) == 3
+    no_key = spark.createDataFrame([("a",), ("b",)], "role string").withColumn("name", F.lit(None).cast("string"))
+    with pytest.raises(errors.QueryError):
+        e.insert("person", no_key)
+    with pytest.raises(errors.QueryError):
+        e.save_feedback(spark.createDataFrame([("f", "s", "t", 1.5)], "feedback_id string, session_id string, tenant_id string, score double"))
+
+
+def test_rows_without_keys_keep_their_ids(spark, tmp_path):
+    e = Engine(spark, f"file://{tmp_path}")
+    e.register_schema({"title": "note", "short_name": "note", "description": "d", "version": "1.0.0", "properties": {"body": {"type": "string", "description": "b"}}})
+    e.insert("note", spark.createDataFrame([("x",), ("x",), (None,)], "body string"))
+    first = sorted(r["id"] for r in e.list("note").collect())
+    e.insert("note", spark.createDataFrame([("y",)], "body string"))
+    assert len(first) == 3 and set(first) < {r["id"] for r in e.list("note").collect()}
+
+
+def test_validation(spark):
+    reg = Registry()
+    rules = {"a": {"type": "integer", "minimum": 1, "exclusiveMaximum": 5}, "b": {"type": "string", "format": "email", "minLength": 6}, "c": {"type": "array", "items": {"type": "string"}, "maxItems": 1}, "d": {"type": ["number", "null"]}}
+    reg.register({"title": "x", "short_name": "x", "description": "d", "version": "1.0.0", "properties": {k: {**v, "description": k} for k, v in rules.items()}})
+    rows = spark.createDataFrame([("1", "a@b.cd", ["x"], "2.5"), ("5", "a@b", ["x", "y"], "z"), ("one", None, None, None)], "a string, b string, c array<string>, d string")
+    got = [r["problems"] for r in reg.violations("x", rows).collect()]
+    assert got[0] == [] and [p.split()[0] for p in got[1]] == ["a", "b", "b", "c", "d"] and got[2] == ["a is not of type integer"]
+
+
+def test_workbooks():
+    from quarry.catalogue_store import _workbook
+
+    text, quality = readers.sheets_to_markdown(_workbook({"one": [["a", "b"], [1, "x|y"]], "none": []}))
+    assert text == "## one\n\n| a | b |\n| --- | --- |\n| 1 | x\\|y |\n\n---\n\n## none\n" and quality == 1.0
+
+
+def test_long_texts_are_cut_in_time(spark):
+    text = "\n\n".join(f"paragraph {i}" for i in range(100_000))
+    began = time.time()
+    got = chunk.paragraph_chunks(spark.createDataFrame([(1, text)], "id int, text string"), 2000).collect()
+    assert "\n\n".join(r["content"] for r in got) == text and max(len(r["content"]) for r in got) <= 2000 and time.time() - began < 60
+
+
+def test_prune_goes_beyond_a_block(spark):
+    rng = np.random.default_rng(1)
+    near = rng.normal(size=(40, 2)) * 0.001 + [1, 0]  # crowd each other out
+    far = np.array([[np.cos(x), np.sin(x)] for x in np.linspace(1, 5, 9)]) * 2
+    x = np.concatenate((near, far))
+    d = np.linalg.norm(x, axis=1)
+    rows = [(q, i, float(d[i]), x[i].tolist()) for q in (0, 1) for i in range(len(x))]
+    cand = spark.createDataFrame(rows, "query_id int, id int, distance double, embedding array<double>")
+    kept = []
+    for i in np.argsort(d, kind="stable"):
+        if len(kept) < 6 and all(d[i] < 1.2 * np.linalg.norm(x[i] - x[k]) for k in kept):
+            kept.append(int(i))
+    got = vector.robust_prune(cand, degree=6, fetch=7).collect()
+    assert len(kept) > 1 and max(kept) >= 40
+    for q in (0, 1):
+        assert sorted(r["id"] for r in got if r["query_id"] == q) == sorted(kept)
+
+
+def test_cascade_stops_at_the_first_stage(spark, monkeypatch):
+    k = spark.createDataFrame([("alpha one", "1", "u"), ("alpha two", "2", "u")], "key_value string, id string, entity_type string")
+    monkeypatch.setattr(lookup, "bm25", None)
+    assert lookup.fuzzy_cascade(k, "alpha one").first()["stage"] == 1 and lookup.fuzzy_cascade(k, "alpha").count() == 2
+
+
+def test_without_a_shared_folder(tmp_path):
+    """A session whose settings lack spark.checkpoint.dir: a local one uses a temporary folder, a cluster's is refused."""
+    code = (
+        "from pyspark.sql import SparkSession; import quarry.session as q\n"
+        "s = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        "df = q.cut(s.range(3)); assert df.count() == 3 and q.shared_dir(s, 'x').startswith('file:///')\n"
+        "try:\n    q.shared_dir(type('S', (), {'conf': s.conf, 'sparkContext': type('C', (), {'master': 'yarn'})})(), 'x')\n"
+        "except RuntimeError: print('refused')\n"
+        "with q.scope(s):\n    path = q.cut(s.range(2)).inputFiles()[0]\n"
+        "import os; print(os.path.exists(path.removeprefix('file://')))\n"
+    )
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))), timeout=120, env=os.environ | {"SPARK_CONF_DIR": str(tmp_path)})
+    assert done.stdout.split() == ["refused", "False"], done.stderr[-2000:]
