@@ -158,7 +158,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     """The model from at most sample_rows labelled documents, none of them held out. Only theirs are texts that it looks at."""
     known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").alias("labelled")).agg(F.min("quality").cast("double").alias("_y"))
     draw, stats = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)), statistics(F.col("text"))
-    there = docs.join(known, F.col("doc_id") == F.col("labelled"), "left_semi").count()
+    there = docs.select("doc_id").join(known, F.col("doc_id") == F.col("labelled"), "left_semi").count()
     texts = docs.select("doc_id", "text", draw.alias("_draw"))
     share = 1.2 * sample_rows / max(1, there)
     if share < 1:  # a sort with a limit sends its rows from every task; few of each are in the running

@@ -623,3 +623,90 @@ def test_pipeline_stages(spark):
     for _, stage in corpus_pipeline.STAGES:
         stage(spark, odd, SF).count()
         stage(spark, odd.limit(0), SF).count()
+
+
+# --- odd input and housekeeping ---
+
+
+def test_decontaminate_odd_items(spark):
+    passage = " ".join(f"w{i}" for i in range(12))
+    items = spark.createDataFrame([(1, passage), (1, "tail " + passage), (None, passage), (2, None), (3, "!?")], "item_id bigint, text string")
+    d = docs(spark, f"a {passage} b", "x " * 50_000 + passage).select("*", F.lit(7).alias("n_words"), F.lit("z").alias("hit_spans"), F.lit(1.5).alias("item_id"))
+    got = {r["doc_id"]: r for r in dc.contamination(d, items).collect()}
+    assert got[0]["n_items"] == 2 and got[0]["items_sha256"] == hashlib.sha256(b",1").hexdigest() and got[1]["n_hit"] == 12
+    left = dc.decontaminate(d, items, max_coverage=1.0)
+    assert left.columns == d.columns and {r["n_words"] for r in left.collect()} == {7} and {r["item_id"] for r in left.collect()} == {1.5}
+    many = spark.createDataFrame([(i, f"q{i} " + passage) for i in range(40)], "item_id bigint, text string")
+    few, blocks = (dc.contamination(d, many, window=10).collect(), dc.scan(d.select("doc_id", "text"), many, block_words=30).collect())
+    assert [r["n_items"] for r in sorted(few)] == [len(r["hit_items"]) for r in sorted(blocks, key=lambda r: r["doc_id"])] == [40, 40]
+
+
+def test_quality_clashing_columns(spark):
+    d = docs(spark, *[f"Some words of text {i}. " * (i % 5 + 1) for i in range(60)]).select("*", *[F.lit(1).alias(n) for n in ("labelled", "_draw", "_y", "quality", "score")])
+    known = spark.createDataFrame([(i, i % 2, "x") for i in range(60)], "doc_id bigint, quality int, text string")
+    assert quality.score(d, known).count() == 60 and quality.keep_good(d, known, 0.0).columns == d.columns
+    assert quality.keep_good(d, known, 0.0).count() == 60 and quality.keep_good(d, known, 1.1).count() == 0
+
+
+def test_pack_repeated_ids_and_special_strings(spark):
+    long = "word " * 3000
+    d = docs(spark, long, "a<|endoftext|>b", None).unionByName(docs(spark, long))
+    got = packing.pack_documents(d, WORDS).toPandas()
+    check_places(got)
+    assert sorted(got[got.doc_id == 0].piece) == [0, 0, 1, 1] and got[got.doc_id == 2].length.tolist() == [1]
+    ids = np.array(library(WORDS).encode("a<|endoftext|>b", add_special_tokens=False).ids + [0], "<u4")
+    assert 49407 in ids and got[got.doc_id == 1].ids_crc32.tolist() == [zlib.crc32(ids.tobytes())]
+
+
+def test_warc_odd_page_ids(spark):
+    rows = [(None, "same"), (None, "same"), (5, "same"), (5, "same"), (3, "same"), (7, None), (None, "alone")]
+    pages = spark.createDataFrame([(i, "u", h, "x", b"y") for i, h in rows], "page_id bigint, url string, html string, key string, payload binary")
+    got = Counter((r["page_id"], r["record_type"], r["refers_to"]) for r in warc.archive_pages(pages).collect())
+    assert got == {(None, "revisit", 5): 2, (5, "response", None): 2, (3, "revisit", 5): 1, (7, "response", None): 1, (None, "response", None): 1}
+
+
+def test_exact_dedup_long_texts_and_frequent_copies(spark):
+    long = "ab cd " * 400_000
+    rows = [(1, long), (2, long + " "), (3, long + "x")] + [(10 + i, "copy  of" if i % 3 else "copy of") for i in range(200)] + [(500 + i, f"text {i}") for i in range(50)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string").select("*", F.lit(1).alias("h"), F.lit(2).alias("n"))
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_dedup(d).collect()}
+    assert got[1] == (2, 2, False) and got[2] == (2, 2, True) and got[3] == (3, 1, True) and got[500] == (500, 1, True)
+    assert {got[10 + i][:2] for i in range(200)} == {(11, 200)} and sum(got[10 + i][2] for i in range(200)) == 1
+
+
+def test_join_frequent(spark):
+    """Frequent keys, rare ones, ones that find nothing and nulls; the same as a plain join."""
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate([1] * 50 + [2] * 5 + [3, 4, None, None])], "k bigint, i int")
+    small = spark.createDataFrame([(1, 50, "one"), (2, 5, "two"), (3, 1, None), (9, 0, "none")], "k bigint, size int, name string")
+    for how in ("left", "inner"):
+        got = common.join_frequent(rows, small, "k", "size", ["i"], how, frequent=1)
+        assert sorted(map(str, got.collect())) == sorted(map(str, rows.join(small, "k", how).select(got.columns).collect())), how
+
+
+def test_scopes(spark):
+    with common.scope(spark) as paths:
+        inner = common.stored(spark.range(5), "scope")
+        common.drop_stored(common.stored(spark.range(2), "dropped"))
+        assert inner.count() == 5 and len(paths) == 1
+    outer = common.stored(spark.range(3), "no-scope")
+    with common.scope(spark):
+        pass
+    assert outer.count() == 3
+    with pytest.raises(Exception, match="(?i)path|exist"):
+        spark.read.parquet(inner.stored_path)
+
+
+def test_pipeline_odd_tables(spark, tmp_path):
+    """Null ids and texts, repeated rows, equal ids with different texts and an empty table, end to end."""
+    base = table(spark, "documents")
+    odd = spark.createDataFrame([(None, None, "en", "s", None), (None, "a few words only", "en", "s", 16), (1, "", None, None, 0), (1, "other text of the same id", "en", "s", 25)], base.schema)
+    for name, d in (("odd", base.limit(60).unionByName(odd).unionByName(odd)), ("empty", base.limit(0))):
+        for other in ("labels", "benchmark"):
+            table(spark, other).write.parquet(f"{tmp_path}/{name}/{other}.parquet")
+        d.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        got = corpus_pipeline.run(spark, f"file://{tmp_path}/{name}").toPandas()
+        check_places(got)
+        assert (len(got) == 0) == (name == "empty")
+    kept = {p: list(v) for p, v in corpus_pipeline._kept.items()}
+    corpus_pipeline.STAGES[0][1](spark, base, SF)
+    assert all(kept[p] == v for p, v in corpus_pipeline._kept.items() if p in kept and p != SF)  # other runs keep theirs
