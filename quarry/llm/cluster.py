@@ -36,10 +36,11 @@ def one_of_equals(sizes: DataFrame) -> DataFrame:
 
 def sub_buckets(rows: DataFrame, sizes: DataFrame, limit: int = LIMIT) -> DataFrame:
     """bucket, lo, hi, side, id: side is 1 for members of block hi, where lo and hi differ."""
+    sizes = stored(sizes.select("bucket", "n"), "bucket-sizes")  # read twice below
     blocks = F.ceil(F.col("n") / (limit // 2)).cast("int")
     own = F.when(F.col("n") <= limit, 0).otherwise(F.pmod(F.xxhash64("id", F.lit(1)), blocks).cast("int"))
     other = F.explode(F.when(F.col("n") <= limit, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), blocks - 1)))
-    met = join_frequent(rows.select("bucket", "id"), sizes.select("bucket", "n"), "bucket", "n", ["id"], "inner").select("bucket", "id", own.alias("own"), other.alias("other"))
+    met = join_frequent(rows.select("bucket", "id"), sizes, "bucket", "n", ["id"], "inner").select("bucket", "id", own.alias("own"), other.alias("other"))
     return met.select("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id")
 
 

@@ -3,11 +3,12 @@
 A document becomes the set of hashes of its runs of five words (words as in decontaminate; a document of
 fewer words has one shingle of all of them). Equal sets count once. In each of several runs every set
 chooses the shingles whose hash, seeded by the run, lies under a threshold of c over its size;
-sets that chose the same shingle share a bucket. Buckets of up to `limit` sets are compared by brute
-force. Members of a larger bucket choose again in several runs, with hashes seeded by the path so far and
+sets that chose the same shingle share a bucket. Buckets of up to a few times `limit` sets are compared by brute
+force, in pairs of blocks of `limit`. Members of a larger bucket choose again in several runs, with hashes seeded by the path so far and
 the run, and split into the buckets of the longer paths; where the members are so alike that most follow
 the same paths, or at the last depth, the bucket is compared as it is, in pairs of blocks. Every
-comparison ends in the exact Jaccard similarity, so no false link is ever made.
+comparison ends in the exact Jaccard similarity of the sets of 32-bit shingle hashes; a sketch of 64 bytes a set sorts
+out pairs before it, with a bar five standard deviations below the similarity asked for.
 
 A pair of similarity s shares at least s * c chosen shingles a run in the mean, and the runs are
 repeated until the chance to share none of them, on the first step or on any later one, is below
@@ -37,8 +38,11 @@ from quarry.llm.common import drop_stored, join_frequent, slices, stored
 from quarry.llm.decontaminate import words
 from quarry.llm.line_dedup import mix as _mix
 
-#: Sets compared with one another in a task: about 1.5 kB each.
-COMPARED = 1500
+#: Sets compared with one another in a task: about 1.5 kB each. Fewer mean more blocks, whose pairs repeat the members of a large bucket.
+COMPARED = 4000
+#: Buckets of up to so many times that number are compared as they are, in blocks: it repeats their members less often than the paths
+#: of a split would. Two blocks of COMPARED sets meet in a task.
+WHOLE = 4
 _SKETCH = 64
 _KEPT_WORDS = 500_000
 
@@ -207,17 +211,19 @@ def set_classes(sets: DataFrame, similarity: float, c: float, limit: int, depth:
         used.append(sizes)
         small = one_of_equals(sizes.where(F.col("n") <= limit))
         parts.append(sub_buckets(rows.select("bucket", "id"), small, limit))
-        large = one_of_equals(sizes.where(F.col("n") > limit))
-        if step == depth or sizes.where(F.col("n") > limit).isEmpty():
-            parts.append(sub_buckets(rows.select("bucket", "id"), large, limit))
+        whole = one_of_equals(sizes.where((F.col("n") > limit) & (F.col("n") <= WHOLE * limit)))
+        parts.append(sub_buckets(rows.select("bucket", "id"), whole, 2 * limit))
+        large = one_of_equals(sizes.where(F.col("n") > WHOLE * limit))
+        if step == depth or sizes.where(F.col("n") > WHOLE * limit).isEmpty():
+            parts.append(sub_buckets(rows.select("bucket", "id"), large, 2 * limit))
             break
-        members = stored(rows.join(large, "bucket").select("bucket", "id", F.col("n").alias("members")), "large-buckets")
+        members = stored(join_frequent(rows.select("bucket", "id"), stored(large, "large-sizes"), "bucket", "n", ["id"], "inner").select("bucket", "id", F.col("n").alias("members")), "large-buckets")
         longer = stored(_longer_paths(members.join(look_up(payload, members), "id"), c, again, step), "longer-paths")
         sizes_below = stored(bucket_sizes(longer, "parent"), "path-sizes")
         heads = members.select(F.col("bucket").alias("parent"), "members").distinct()
-        mass = sizes_below.where(F.col("n") > limit).groupBy("parent").agg(F.sum("n").alias("below"))
+        mass = sizes_below.where(F.col("n") > WHOLE * limit).groupBy("parent").agg(F.sum("n").alias("below"))
         alike = stored(heads.join(mass, "parent").where(F.col("below") > 0.6 * c * again * F.col("members")).select(F.col("parent").alias("bucket"), F.col("members").alias("n")), "alike-buckets")
-        parts.append(sub_buckets(members.select("bucket", "id"), alike, limit))
+        parts.append(sub_buckets(members.select("bucket", "id"), alike, 2 * limit))
         split = longer.join(alike, F.col("parent") == alike["bucket"], "left_anti")
         rows = stored(split.select("bucket", "id").distinct(), "paths")
         used += [members, longer, sizes_below, alike, rows]

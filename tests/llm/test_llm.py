@@ -362,9 +362,9 @@ def family(rng, n, words=120, changes=3):
     return out
 
 
-@pytest.mark.parametrize("limit", [4000, 8])
+@pytest.mark.parametrize("limit", [4000, 2])
 def test_ngram_join_equals_brute_force(spark, limit):
-    """With a limit of 8, large buckets go through longer paths and blocks."""
+    """With a limit of 2, large buckets go through longer paths and blocks."""
     rng = random.Random(2)
     passage = " ".join(f"p{i}" for i in range(60))
     texts = family(rng, 40) + family(rng, 6) + [f"{passage} " + " ".join(f"u{rng.randrange(10**6)}" for _ in range(150)) for _ in range(40)]
@@ -429,9 +429,9 @@ def brute_classes(spark, sf):
     return {d: (rows[c][0], n) for (d, _), c, n in zip(rows, found, links)}
 
 
-@pytest.mark.parametrize("limit", [ngram_join.COMPARED, 8])
+@pytest.mark.parametrize("limit", [ngram_join.COMPARED, 2])
 def test_ngram_join_recall_on_documents(spark, limit):
-    """Against all pairs of the 1000 documents of sf0.01: no pair at 0.8 or more is missed, also where buckets of over 8 are split."""
+    """Against all pairs of the 1000 documents of sf0.01: no pair at 0.8 or more is missed, also where buckets of over 8 are split (4 times the limit)."""
     sf = SF.replace("0.001", "0.01")
     want = brute_classes(spark, sf)
     got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in ngram_join.near_duplicates(spark.read.parquet(f"{sf}/documents.parquet"), limit=limit).collect()}
