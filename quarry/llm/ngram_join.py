@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.cluster import BROADCAST_IDS, LIMIT, bucket_sizes, classes, in_order, look_up, one_of_equals, runs, spanning_links, sub_buckets
+from quarry.llm.cluster import BROADCAST_IDS, bucket_sizes, classes, in_order, look_up, one_of_equals, runs, spanning_links, sub_buckets
 from quarry.llm.common import drop_stored, join_frequent, slices, stored
 from quarry.llm.decontaminate import words
 from quarry.llm.line_dedup import mix as _mix
@@ -43,6 +43,8 @@ COMPARED = 4000
 #: Buckets of up to so many times that number are compared as they are, in blocks: it repeats their members less often than the paths
 #: of a split would. Two blocks of COMPARED sets meet in a task.
 WHOLE = 4
+#: Sets of a class whose links are counted at once: a matrix of 16 MB, and one of 32 MB of the shingles that they have.
+COUNTED = 2000
 _SKETCH = 64
 _KEPT_WORDS = 500_000
 
@@ -202,7 +204,8 @@ def set_classes(sets: DataFrame, similarity: float, c: float, limit: int, depth:
     """id, root of the sets that are linked with any other one."""
     again = runs_by_depth(recall, similarity, c, depth)[1]
     payload = sets.where("id IS NOT NULL").select("id", "sketch", "tokens")
-    rows = stored(sets.select("id", F.explode("paths").alias("bucket")).distinct(), "paths")
+    once = sets.where("id IS NOT NULL").groupBy("id").agg(F.first("paths").alias("paths"))  # equal sets have equal paths
+    rows = stored(once.select("id", F.explode("paths").alias("bucket")), "paths")
     sizes = bucket_sizes(rows)
     parts: list[DataFrame] = []
     used = [rows]
@@ -239,7 +242,7 @@ def set_classes(sets: DataFrame, similarity: float, c: float, limit: int, depth:
     return found
 
 
-def near_duplicates(docs: DataFrame, similarity: float = 0.8, size: int = 5, recall: float = 0.9999, c: float = 4.0, limit: int = COMPARED, count_limit: int = LIMIT, depth: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = 0.8, size: int = 5, recall: float = 0.9999, c: float = 4.0, limit: int = COMPARED, count_limit: int = COUNTED, depth: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: doc_id, class_id (the least doc_id of its class), class_size, n_links (other
     documents that it is linked with)."""
     sets = shingle_sets(docs, size, c, runs_by_depth(recall, similarity, c, depth)[0], id_col, text_col)
